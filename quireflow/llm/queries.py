@@ -13,6 +13,27 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 JSON_FILE = "byte_bpe_50k.json"
 
 
+def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireflow.llm.quality import judge, trusted_ids
+
+    return judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
+def op2_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireflow.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quireflow.llm.reputation import judge
+
+    outcomes = table(spark, sf_dir, "labels").select("doc_id", (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quireflow.llm.sharding import shard_documents
 
@@ -48,7 +69,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_jump_sharding, op5_byte_bpe, op6_fair_mixing, op8_grace_dedup, op9_token_counts)
+    f.__name__: f for f in (op1_llr_quality, op2_simhash_gph, op3_url_reputation, op4_jump_sharding, op5_byte_bpe, op6_fair_mixing, op8_grace_dedup, op9_token_counts)
 }
 
 ORACLES: dict[str, str] = {}

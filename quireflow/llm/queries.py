@@ -54,6 +54,12 @@ def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
+def op7_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireflow.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quireflow.llm.exact import exact_dedup
 
@@ -68,8 +74,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(JSON_FILE), public_tokenizers.PATTERN)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quireflow.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_llr_quality, op2_simhash_gph, op3_url_reputation, op4_jump_sharding, op5_byte_bpe, op6_fair_mixing, op8_grace_dedup, op9_token_counts)
+    f.__name__: f for f in (op1_llr_quality, op2_simhash_gph, op3_url_reputation, op4_jump_sharding, op5_byte_bpe, op6_fair_mixing, op7_semicrf_pii, op8_grace_dedup, op9_token_counts, op10_license_scan)
 }
 
 ORACLES: dict[str, str] = {}

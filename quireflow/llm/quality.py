@@ -124,7 +124,8 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WS_CHARS, "") != "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     of_words = let(_hashes(words_of(text)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"), score(h, ratios).alias("score")))
-    found = df.withColumn("_quality", of_words)
+    # a generator, unlike a projection, is never copied into the filters and columns that read it
+    found = df.select(*[c for c in df.columns], F.explode(F.array(of_words)).alias("_quality"))
     n, repeat, grams = F.col("_quality.n_words"), F.col("_quality.n_repeat_words"), F.greatest(2 * F.col("_quality.n_words") - 1, F.lit(1))
     failed = (n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n)
     good = F.col("_quality.score") >= F.floor(F.lit(threshold * UNIT)).cast("long") * grams

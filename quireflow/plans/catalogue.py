@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quireflow.plans import layout_queries
+
+_MODULES = (layout_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}

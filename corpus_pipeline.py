@@ -27,10 +27,10 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal texts (rows that share their id and text too count as one record)."""
-    from quireflow.llm.exact import exact_dedup as classes
+    """The row that stays of each group of equal texts."""
+    from quireflow.llm.exact import kept_rows
 
-    return _kept(docs, classes(docs, "doc_id", "text").where("kept"))
+    return kept_rows(docs, "doc_id", "text")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ crosses the network once per task. What returns to the documents is keyed by the
 from __future__ import annotations
 
 import hashlib
-import marshal
 import os
+import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -25,8 +25,8 @@ TABLE_BYTES = 48 << 20
 FAN_OUT, MAX_DEPTH = 16, 16
 _DROP = WS_CHARS.encode()
 
-#: (hash, digest, content, rows, most code points, id that stays)
-Record = tuple[int, bytes, bytes, int, int, object]
+#: (hash, digest, content, rows, most code points, id that stays, whole row that stays or None)
+Record = tuple[int, bytes, bytes, int, int, object, object]
 
 
 def better(n: int, row_id: object, other_n: int, other_id: object) -> bool:
@@ -45,7 +45,7 @@ class OpenTable:
         self.bytes = 0
 
     def add(self, rec: Record) -> None:
-        h, digest, content, rows, n, row_id = rec
+        h, digest, content, rows, n, row_id, whole = rec
         mask = len(self.slots) - 1
         at = h & mask
         while (k := self.slots[at]) >= 0:
@@ -53,12 +53,12 @@ class OpenTable:
             if row[0] == h and row[2] == content:
                 row[3] += rows
                 if better(n, row_id, row[4], row[5]):
-                    row[4], row[5] = n, row_id
+                    row[4], row[5], row[6] = n, row_id, whole
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
-        self.rows.append([h, digest, content, rows, n, row_id])
-        self.bytes += len(content) + 200
+        self.rows.append([h, digest, content, rows, n, row_id, whole])
+        self.bytes += len(content) * (1 if whole is None else 2) + 200
         if 2 * len(self.rows) > len(self.slots):
             self._grow()
 
@@ -76,7 +76,7 @@ def _read(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         end = os.fstat(f.fileno()).st_size
         while f.tell() < end:
-            yield marshal.load(f)
+            yield pickle.load(f)
 
 
 def grouped(records: Iterable[Record], folder: str, depth: int = 0, limit: int = TABLE_BYTES) -> Iterator[list]:
@@ -88,10 +88,10 @@ def grouped(records: Iterable[Record], folder: str, depth: int = 0, limit: int =
             if table.bytes > limit and depth < MAX_DEPTH:
                 files = [open(os.path.join(folder, f"{depth}-{k}"), "wb") for k in range(FAN_OUT)]  # noqa: SIM115
                 for row in table.rows:
-                    marshal.dump(tuple(row), files[row[0] >> 4 * depth & FAN_OUT - 1])
+                    pickle.dump(tuple(row), files[row[0] >> 4 * depth & FAN_OUT - 1])
                 table = OpenTable()
         else:
-            marshal.dump(rec, files[rec[0] >> 4 * depth & FAN_OUT - 1])
+            pickle.dump(rec, files[rec[0] >> 4 * depth & FAN_OUT - 1])
     if files is None:
         yield from table.rows
         return
@@ -120,7 +120,7 @@ def _folded(id_col: str, limit: int):
                 text = text.as_py() or ""
                 content = normalised(text)
                 digest = hashlib.sha256(content).digest()
-                table.add((int.from_bytes(digest[:8], "little"), digest, content, 1, len(text), row_id))
+                table.add((int.from_bytes(digest[:8], "little"), digest, content, 1, len(text), row_id, None))
                 if table.bytes > limit:
                     yield flush(table)
                     table = OpenTable()
@@ -157,7 +157,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES)
                 for digest, content, rows, most, keep in zip(*(b.column(c) for c in ("digest", "content", "rows", "most", "keep_id")), strict=True):
                     d = digest.as_py()
                     # the leading bytes chose the task; the spill files take other ones
-                    yield int.from_bytes(d[8:16], "little"), d, content.as_py(), rows.as_py(), most.as_py(), keep.as_py()
+                    yield int.from_bytes(d[8:16], "little"), d, content.as_py(), rows.as_py(), most.as_py(), keep.as_py(), None
 
         with tempfile.TemporaryDirectory() as folder:
             out: list[list] = []
@@ -190,3 +190,74 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BY
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES) -> DataFrame:
+    """df's rows that stay, whole, one for each different text: what a pipeline goes on with.
+
+    The rows themselves go through the partitioning, so texts cross the network once and nothing is joined back.
+    """
+    names, schema = df.columns, df.schema
+    at_id, at_text = names.index(id_col), names.index(text_col)
+
+    def record(row: tuple) -> Record:
+        text = row[at_text] or ""
+        content = normalised(text)
+        digest = hashlib.sha256(content).digest()
+        return int.from_bytes(digest[8:16], "little"), digest, content, 1, len(text), row[at_id], row
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)
+
+    def batches_of(rows: Iterable[list], kind: pa.Schema, with_digest: bool) -> Iterator[pa.RecordBatch]:
+        buffered: list[list] = []
+
+        def made() -> pa.RecordBatch:
+            cols = [pa.array([r[6][k] for r in buffered], kind.field(k).type) for k in range(len(names))]
+            if with_digest:
+                return pa.RecordBatch.from_arrays([*cols, pa.array([r[1] for r in buffered], pa.binary())], [*names, "_digest"])
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        size = 0
+        for r in rows:
+            buffered.append(r)
+            size += len(r[2])
+            if len(buffered) >= 4096 or size > limit:
+                yield made()
+                buffered, size = [], 0
+        if buffered:
+            yield made()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kind = OpenTable(), None
+        for batch in batches:
+            kind = batch.schema
+            for row in rows_of(batch):
+                table.add(record(row))
+                if table.bytes > limit:
+                    yield from batches_of(table.rows, kind, True)
+                    table = OpenTable()
+        if table.rows:
+            yield from batches_of(table.rows, kind, True)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.Schema] = []
+
+        def records() -> Iterator[Record]:
+            for b in batches:
+                kinds.append(b.schema) if not kinds else None
+                for row in rows_of(b):
+                    yield record(row)
+
+        with tempfile.TemporaryDirectory() as folder:
+            found = grouped(records(), folder, 0, limit)
+            first = next(found, None)
+            if first is not None:
+                import itertools
+
+                yield from batches_of(itertools.chain([first], found), kinds[0], False)
+
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    dealt = df.mapInArrow(local, StructType([*schema.fields, StructField("_digest", BinaryType())])).repartition("_digest")
+    return dealt.mapInArrow(merged, schema)

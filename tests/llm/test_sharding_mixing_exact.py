@@ -108,8 +108,22 @@ def test_exact(which, limit, request):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+@pytest.mark.parametrize("limit", [exact.TABLE_BYTES, 2000])
+def test_kept_rows(which, limit, request):
+    df = request.getfixturevalue(which)
+    best: dict = {}
+    for r in df.collect():
+        key = WS.sub("", r.text or "")
+        rank = (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)
+        best[key] = min(best.get(key, (rank, r)), (rank, r), key=lambda x: x[0])
+    got = exact.kept_rows(df, "doc_id", "text", limit)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r) for _, r in best.values())
+
+
 def test_table_compares_contents(tmp_path):
-    records = [(5, b"d", b"one", 1, 3, 1), (5, b"d", b"two", 1, 3, 2), (5, b"d", b"one", 1, 9, 3)]
+    records = [(5, b"d", b"one", 1, 3, 1, None), (5, b"d", b"two", 1, 3, 2, None), (5, b"d", b"one", 1, 9, 3, None)]
     got = sorted((r[2], r[3], r[5]) for r in exact.grouped(records * 3, str(tmp_path), 0, 100))
     assert got == [(b"one", 6, 3), (b"two", 3, 2)]
 

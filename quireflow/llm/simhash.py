@@ -27,6 +27,8 @@ BITS, SHINGLE, SEED = 64, 4, 42
 DISTANCE = 4
 #: Widths of parts by the number of distinct fingerprints: four parts of 16 bits keep the tables of counts at 4 x 65,536 entries; past MANY fingerprints three parts of 22, 21 and 21 bits.
 MANY = 1 << 27
+#: Shares that the fingerprints of a component are dealt to.
+SALTS = 32
 #: Fingerprints of a bucket that are compared at a time.
 BLOCK = 4096
 
@@ -287,7 +289,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, distance: int = D
     rows = written(fingerprints(df, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(_links_of(df.sparkSession, distinct, distance))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(lowest, "root").select("fp", "component_id")
+    # only linked fingerprints meet by component; salts part a component that holds many of them
+    salts = F.array(*[F.lit(k) for k in range(SALTS)])
+    linked = roots.withColumnRenamed("node", "fp").join(distinct, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(salts))
+    in_group = linked.join(lowest, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("grouped"))
+    of_fp = distinct.join(in_group, "fp", "left").select("fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

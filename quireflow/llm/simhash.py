@@ -31,6 +31,8 @@ MANY = 1 << 27
 SALTS = 32
 #: Fingerprints of a bucket that are compared at a time.
 BLOCK = 4096
+#: Rows of a bucket that is tested for links together with others.
+SMALL = 32
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,34 +204,61 @@ def bucket_links(own: np.ndarray, probing: np.ndarray, distance: int) -> list[tu
     return links
 
 
+def _linked_buckets(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, distance: int) -> np.ndarray:
+    """Which buckets may hold a link: large ones, and small ones in which two neighbours up to SMALL apart are near.
+
+    All small buckets are tested together, by comparing every row with the k-th after it while both lie in one bucket.
+    """
+    sizes = ends - starts
+    out = sizes > SMALL
+    bucket = np.repeat(np.arange(len(starts)), sizes)
+    u = fps.view(np.uint64)
+    rows = np.flatnonzero(~out[bucket] & (sizes[bucket] > 1))
+    for k in range(1, SMALL):
+        rows = rows[rows + k < ends[bucket[rows]]]
+        if not len(rows):
+            break
+        near = np.bitwise_count(u[rows] ^ u[rows + k]) <= distance
+        out[bucket[rows[near]]] = True
+    return out
+
+
 def _links(probes: DataFrame, distance: int) -> DataFrame:
-    """Links of all buckets. Buckets come one after another in sorted order; a task holds one bucket of distinct fingerprints, 8 bytes each."""
+    """Links of all buckets. Rows are sorted by bucket; a task holds a batch and the bucket that it ends in, 8 bytes a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, probing = None, [], []
         out: list[tuple[int, int]] = []
 
-        def close() -> None:
-            a, b = np.concatenate(own) if own else np.empty(0, np.int64), np.concatenate(probing) if probing else np.empty(0, np.int64)
-            if len(a) and len(a) + len(b) > 1:
-                out.extend(bucket_links(a, b, distance))
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            out.clear()
+            return made
+
+        def close(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> None:
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+            ends = np.append(starts[1:], len(key))
+            for k in np.flatnonzero(_linked_buckets(fp, starts, ends, distance)).tolist():
+                mine, asks = fp[starts[k] : ends[k]], probe[starts[k] : ends[k]]
+                if not asks.all():
+                    out.extend(bucket_links(mine[~asks], mine[asks], distance))
 
+        pending: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             part, value, fp, probe = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not len(part):
                 continue
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                if (part[a], value[a]) != key:
-                    close()
-                    key, own, probing = (part[a], value[a]), [], []
-                which = probe[a:b].astype(bool)
-                own.append(fp[a:b][~which]), probing.append(fp[a:b][which])
+            key, probe = (part.astype(np.int64) << 40) | value, probe.astype(bool)
+            pending.append((key, fp.astype(np.int64), probe))
+            if key[-1] != pending[0][0][0]:
+                key, fp, probe = (np.concatenate(c) for c in zip(*pending, strict=True))
+                cut = int(np.searchsorted(key, key[-1])) if (np.diff(key) >= 0).all() else int(np.flatnonzero(np.diff(key))[-1]) + 1
+                close(key[:cut], fp[:cut], probe[:cut])
+                pending = [(key[cut:], fp[cut:], probe[cut:])]
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-                out.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                yield flush()
+        if pending:
+            close(*(np.concatenate(c) for c in zip(*pending, strict=True)))
+        yield flush()
 
     return probes.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words whose ids a Python worker keeps; about 150 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Rows of an Arrow batch that are encoded together.
 BLOCK = 256
 

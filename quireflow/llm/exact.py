@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from quireflow.llm.common import WS_CHARS
 
 #: Bytes of contents that a table may hold before its bucket is parted.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
+#: Rows that are taken out of an Arrow batch at a time.
+SLICE = 256
 #: Spill files a bucket is parted into, and how often: 16 x 4 bits are the whole hash.
 FAN_OUT, MAX_DEPTH = 16, 16
 _DROP = WS_CHARS.encode()
@@ -207,7 +209,9 @@ def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTE
         return int.from_bytes(digest[8:16], "little"), digest, content, 1, len(text), row[at_id], row
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        return zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*(part.column(k).to_pylist() for k in range(len(names))), strict=True)
 
     def batches_of(rows: Iterable[list], kind: pa.Schema, with_digest: bool) -> Iterator[pa.RecordBatch]:
         buffered: list[list] = []
@@ -222,7 +226,7 @@ def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTE
         for r in rows:
             buffered.append(r)
             size += len(r[2])
-            if len(buffered) >= 4096 or size > limit:
+            if len(buffered) >= 4096 or size > limit // 2:
                 yield made()
                 buffered, size = [], 0
         if buffered:

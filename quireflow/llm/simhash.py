@@ -28,7 +28,7 @@ DISTANCE = 4
 #: Widths of parts by the number of distinct fingerprints: four parts of 16 bits keep the tables of counts at 4 x 65,536 entries; past MANY fingerprints three parts of 22, 21 and 21 bits.
 MANY = 1 << 27
 #: Shares that the fingerprints of a component are dealt to.
-SALTS = 32
+SALTS = 8
 #: Fingerprints of a bucket that are compared at a time.
 BLOCK = 4096
 #: Rows of a bucket that is tested for links together with others.

@@ -35,6 +35,18 @@ def script_of(ch: Column) -> Column:
     return out
 
 
+def script_of_code(cp: Column) -> Column:
+    """Script of a code point, null if neutral: comparisons of whole numbers, which generated code does fast."""
+    out = F.lit(None).cast("string")
+    for script in dict.fromkeys(s for _, _, s in SCRIPT_BLOCKS):
+        ranges = [cp.between(a, b) for a, b, s in SCRIPT_BLOCKS if s == script]
+        hit = ranges[0]
+        for r in ranges[1:]:
+            hit = hit | r
+        out = F.when(hit, F.lit(script)).otherwise(out)
+    return out
+
+
 def blocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCRIPT_BLOCKS, "lo int, hi int, script string")
 
@@ -91,11 +103,13 @@ def run_text(words: Column) -> Column:
 def char_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, script, n, first_at): characters of each script in a text; neutral ones don't count.
 
-    Each text is folded to its distinct characters with counts before scripts are looked up by code point: an equi join
-    on a few hundred code points instead of a range join on every character.
+    Each text is folded to its distinct code points with counts before scripts are looked up, so the ranges are tested
+    on a few dozen rows a text instead of on every character, and no range join is needed.
     """
-    ch = df.select(key, F.posexplode(chars(F.col(text_col))).alias("at", "ch")).groupBy(key, "ch").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
-    return ch.withColumn("script", script_of(F.col("ch"))).where("script is not null").groupBy(key, "script").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+    ch = df.select(key, F.posexplode(F.split(text_col, "")).alias("at", "ch")).where("ch <> ''").select(key, "at", F.ascii("ch").alias("cp"))
+    # the code is taken from an aggregate: a filter on a grouping key would be pushed down to every character
+    folded = ch.groupBy(key, "cp").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("cp").alias("code"))
+    return folded.withColumn("script", script_of_code(F.col("code"))).where("script is not null").groupBy(key, "script").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
 
 
 def script_shares(counts: DataFrame, key: str) -> DataFrame:

@@ -60,7 +60,7 @@ def page_counters(spark, sf_dir):
 
 
 def lru_cache_sim(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id < 20000")
+    e = read(spark, sf_dir, "events")
     log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.concat(F.lit("p"), F.col("event_id") * 13 % 7).alias("key"), (F.col("event_id") * 13 % 7 * 10 + 30).cast("long").alias("bytes"))
     return editlog.lru_cache(log, 120).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"), F.max("raw").alias("most_raw"))
 
@@ -89,7 +89,7 @@ def sha256_provenance(spark, sf_dir):
 
 
 def image_plan(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    li = read(spark, sf_dir, "lineitem")
     w, h = F.col("l_partkey") % 9000 + 1, F.col("l_suppkey") * 37 % 9000 + 1
     plan = files.decode_plan(w, h, 16_000_000)
     return li.groupBy(plan["reject"].alias("reject")).agg(F.count("*").alias("n"), F.count_if(plan["scale"] < 1).alias("n_scaled"), F.sum(F.floor(plan["scale"] * 1000).cast("long")).alias("scale_sum"), F.sum(F.floor(files.image_points(w)).cast("long")).alias("points"))
@@ -119,7 +119,7 @@ def device_budget(spark, sf_dir):
 
 def ocr_scale(spark, sf_dir):
     s = edits.recognition_scale(F.col("l_quantity") % 15, F.col("l_partkey") % 4000 + 500, F.col("l_suppkey") % 4000 + 500, F.lit(20_000_000))
-    return read(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(s.cast("long").alias("scale")).groupBy("scale").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "lineitem").select(s.cast("long").alias("scale")).groupBy("scale").agg(F.count("*").alias("n"))
 
 
 def confidence_bands(spark, sf_dir):
@@ -128,13 +128,13 @@ def confidence_bands(spark, sf_dir):
 
 
 def edit_plan_prefix_suffix(spark, sf_dir):
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("a"), F.concat(F.substring("text", 1, 12), F.col("turn"), F.substring("text", 14, 27)).alias("b"))
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.expr("concat(substr(text, 1, length(text) div 2), turn, substr(text, length(text) div 2 + 2))").alias("b"))
     plan = edits.edit_plan(F.col("a"), F.col("b"), F.lit(10), F.lit(100), F.lit(100))
     return t.select("conv_id", "turn", plan["text"].alias("text"), plan["from_x"].cast("long").alias("from_x"), plan["full"].alias("full"))
 
 
 def replacement_layout(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    li = read(spark, sf_dir, "lineitem")
     n = (F.col("l_partkey") % 40 + 2).cast("int")
     out = edits.replacement_layout(F.lit(200.0), n, F.lit(0.5), F.lit(0.0), F.lit(1.0), F.lit(16.0), F.col("l_linenumber") == 1)
     return li.groupBy(n.cast("long").alias("glyphs"), out["overflow"].alias("overflow")).agg(F.count("*").alias("rows"), F.round(F.min(out["size"]), 6).alias("size"), F.round(F.min(out["scale_x"]), 6).alias("scale_x"))
@@ -234,7 +234,7 @@ ORACLES = {
     "single_flight": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
     "sniff_magic": "SELECT * FROM (VALUES (0::BIGINT, 'image/png', NULL), (1, 'image/jpeg', NULL), (2, 'image/webp', NULL), (3, 'application/pdf', NULL), (4, 'application/pdf', NULL), (5, NULL, 'unsupported'), (6, NULL, 'empty'), (7, 'image/jpeg', NULL), (8, NULL, 'unsupported'), (9, NULL, 'unsupported'), (10, NULL, 'unsupported')) t(id, mime, reason)",
     "sha256_provenance": "SELECT page_id, sha256(coalesce(html, '')) AS sha256, 'doc-' || substr(sha256(coalesce(html, '')), 1, 16) AS doc_id FROM pages",
-    "image_plan": """WITH s AS (SELECT l_partkey % 9000 + 1 AS w, l_suppkey * 37 % 9000 + 1 AS h FROM lineitem WHERE l_orderkey < 3000), p AS (SELECT w, w * h > 60000000 AS reject, CASE WHEN w * h > 16000000 THEN sqrt(16000000.0::DOUBLE / (w * h)) ELSE 1.0 END AS scale FROM s)
+    "image_plan": """WITH s AS (SELECT l_partkey % 9000 + 1 AS w, l_suppkey * 37 % 9000 + 1 AS h FROM lineitem), p AS (SELECT w, w * h > 60000000 AS reject, CASE WHEN w * h > 16000000 THEN sqrt(16000000.0::DOUBLE / (w * h)) ELSE 1.0 END AS scale FROM s)
       SELECT reject, count(*) AS n, count_if(scale < 1)::BIGINT AS n_scaled, sum(floor(scale * 1000)::BIGINT)::BIGINT AS scale_sum, sum(floor(w * 72 / 300)::BIGINT)::BIGINT AS points FROM p GROUP BY reject""",
     "pdf_native_scale": "SELECT * FROM (VALUES ('a', 4.166667::DOUBLE, 4.166667::DOUBLE), ('b', 3.0, 3.0), ('c', NULL, 4.166667), ('d', 10.10101, round(sqrt(16000000.0 / (612.0 * 792.0)), 6))) t(page_id, native, scale)",
     "export_names": r"""SELECT p_partkey, p_name || CASE WHEN p_size % 3 + 1 > 1 THEN '-page1' ELSE '' END || '-edited.' || CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpg' END AS name,
@@ -242,19 +242,19 @@ ORACLES = {
     "device_budget": """WITH g AS (SELECT m::INT AS memory, c::INT AS cores FROM range(1, 33) a(m), range(1, 17) b(c) UNION ALL VALUES (NULL, NULL), (8, NULL), (NULL, 8)),
       t AS (SELECT *, CASE WHEN coalesce(memory, 4) <= 2 OR coalesce(cores, 4) <= 2 THEN 'low' WHEN coalesce(memory, 4) < 8 OR coalesce(cores, 4) < 4 THEN 'mid' ELSE 'high' END AS tier FROM g)
       SELECT memory, cores, tier, (CASE tier WHEN 'high' THEN 40000000 WHEN 'mid' THEN 20000000 ELSE 10000000 END)::BIGINT AS pixels FROM t""",
-    "ocr_scale": """WITH r AS (SELECT l_quantity % 15 AS t, l_partkey % 4000 + 500 AS w, l_suppkey % 4000 + 500 AS h FROM lineitem WHERE l_orderkey < 3000),
+    "ocr_scale": """WITH r AS (SELECT l_quantity % 15 AS t, l_partkey % 4000 + 500 AS w, l_suppkey % 4000 + 500 AS h FROM lineitem),
       s AS (SELECT *, CASE WHEN t > 0 AND t < 12 THEN least(4, floor(30.0 / t + 0.5)) ELSE 1 END AS wanted FROM r)
       SELECT (CASE WHEN wanted >= 4 AND w * h * 16 <= 20000000 THEN 4 WHEN wanted >= 3 AND w * h * 9 <= 20000000 THEN 3 WHEN wanted >= 2 AND w * h * 4 <= 20000000 THEN 2 ELSE 1 END)::BIGINT AS scale, count(*) AS n FROM s GROUP BY 1""",
     "confidence_bands": """SELECT CASE WHEN 2 * l_quantity < 60 THEN 'low' WHEN 2 * l_quantity < 85 THEN 'mid' ELSE 'high' END AS band, count(*) AS n,
       sum(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 10 * (l_quantity * 2 / 100 * 0.4::DOUBLE + 0.6::DOUBLE))) * 1000)::BIGINT)::BIGINT AS trust FROM lineitem GROUP BY 1""",
-    "edit_plan_prefix_suffix": """WITH t AS (SELECT conv_id, turn, substr(text, 1, 40) AS a, substr(text, 1, 12) || turn || substr(text, 14, 27) AS b FROM conversations),
+    "edit_plan_prefix_suffix": """WITH t AS (SELECT conv_id, turn, text AS a, substr(text, 1, length(text) // 2) || turn || substr(text, length(text) // 2 + 2) AS b FROM conversations),
       l AS (SELECT *, length(a) AS la, length(b) AS lb, least(length(a), length(b)) AS m FROM t),
       p AS (SELECT *, len(list_filter(range(1, m + 1), lambda k: substr(a, 1, k) = substr(b, 1, k))) AS p FROM l),
       s AS (SELECT *, len(list_filter(range(1, m - p + 1), lambda k: substr(a, la - k + 1, k) = substr(b, lb - k + 1, k))) AS s FROM p),
       k AS (SELECT *, p > 0 AS keep_p, s > 0 AND la = lb AS keep_s FROM s)
       SELECT conv_id, turn, CASE WHEN NOT (keep_p OR keep_s) THEN b ELSE substr(b, CASE WHEN keep_p THEN p ELSE 0 END + 1, greatest(0, lb - CASE WHEN keep_s THEN s ELSE 0 END - CASE WHEN keep_p THEN p ELSE 0 END)) END AS text,
         (CASE WHEN keep_p THEN 100 + 10 * p ELSE 100 END)::BIGINT AS from_x, NOT (keep_p OR keep_s) AS "full" FROM k""",
-    "replacement_layout": """WITH r AS (SELECT (l_partkey % 40 + 2)::BIGINT AS n, l_linenumber = 1 AS con FROM lineitem WHERE l_orderkey < 3000),
+    "replacement_layout": """WITH r AS (SELECT (l_partkey % 40 + 2)::BIGINT AS n, l_linenumber = 1 AS con FROM lineitem),
       a AS (SELECT *, n * 8.0::DOUBLE AS adv0 FROM r), b AS (SELECT *, CASE WHEN adv0 > 200 AND NOT con THEN greatest(-0.48::DOUBLE, (200 - adv0) / greatest(1, n - 1)) ELSE 0.0::DOUBLE END AS sp FROM a),
       c AS (SELECT *, adv0 + (n - 1) * sp AS a1 FROM b), d AS (SELECT *, CASE WHEN a1 > 200 THEN greatest(0.88::DOUBLE, (200 - sp * greatest(1, n - 1)) / greatest(1, a1 - sp * greatest(1, n - 1))) ELSE 1.0::DOUBLE END AS sx FROM c),
       e AS (SELECT *, a1 * sx AS a2 FROM d), f AS (SELECT *, CASE WHEN a2 > 200 THEN greatest(12.8::DOUBLE, 16 * (200 / a2)) ELSE 16.0::DOUBLE END AS sz FROM e), g AS (SELECT *, (n * 0.5::DOUBLE * sz + (n - 1) * sp) * sx AS a3 FROM f)

@@ -11,7 +11,9 @@ from quireflow.sources.words import read
 
 
 def _pages(spark, sf_dir):
-    return g.synthetic_pages(read(spark, sf_dir, "documents"))
+    """A page for each supplier, which shows its record as four lines."""
+    record = F.concat_ws("\n", "s_name", F.concat(F.lit("Nation: "), "s_nationkey"), F.concat(F.lit("Balance: "), F.format_string("%.2f", "s_acctbal")), F.concat(F.lit("No. "), "s_suppkey"))
+    return g.synthetic_pages(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), record.alias("text")))
 
 
 def sauvola_ink(spark, sf_dir):

@@ -100,12 +100,12 @@ _CREDIBLE = f"({_ALNUM_LEN} > 0 AND 10 * {_ALNUM_LEN} >= 6 * length(text) AND ({
 
 
 def _conversation_readings(spark, sf_dir):
-    """Each turn as a reading of a line 400 px wide with a confidence from its digest."""
+    """Each turn as a reading of a line 12 px a character wide, with a confidence from its digest."""
     t = read(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", F.substring("text", 1, 24).alias("text"), F.lit(400).alias("width"), (F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 2), 16, 10).cast("int") % 100).alias("c"), (F.col("turn") * 40 + 40).alias("height"))
+    return t.select("conv_id", "turn", "text", (F.length("text") * 12).alias("width"), (F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 2), 16, 10).cast("int") % 100).alias("c"), (F.col("turn") * 40 + 40).alias("height"))
 
 
-_READINGS = """WITH readings AS (SELECT conv_id, turn, substr(text, 1, 24) AS text, 400 AS width, ('0x' || substr(md5(conv_id || ':' || turn), 1, 2))::INT % 100 AS c, turn * 40 + 40 AS height FROM conversations),
+_READINGS = """WITH readings AS (SELECT conv_id, turn, text, length(text) * 12 AS width, ('0x' || substr(md5(conv_id || ':' || turn), 1, 2))::INT % 100 AS c, turn * 40 + 40 AS height FROM conversations),
 parts AS (SELECT *, regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g') AS an, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS toks, length(regexp_replace(text, '\\s', '', 'g')) AS dense FROM readings),
 judged AS (SELECT *, NOT (len(list_filter(toks, lambda w: len(list_filter(toks, lambda v: v = w)) >= 3)) > 0)
   AND NOT (length(an) >= 2 AND length(replace(lower(an), lower(substr(an, 1, 1)), '')) = 0)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.common import over_arrow
+
 #: Distinct words whose ids a Python worker keeps; about 150 bytes each.
 REMEMBERED = 150_000
 #: Rows of an Arrow batch that are encoded together.
@@ -146,7 +148,7 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, rank_file: str, pat
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return over_arrow(df.select(id_col, text_col), run, schema)
 
 
 def decode_ids(df: DataFrame, ids_col: str, out_col: str, rank_file: str, pattern: str) -> DataFrame:
@@ -162,7 +164,7 @@ def decode_ids(df: DataFrame, ids_col: str, out_col: str, rank_file: str, patter
             out = [None if ids is None else b"".join(pieces[i] for i in ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return over_arrow(df, run, schema)
 
 
 def rank_map(ranks: dict[bytes, int], used: set[bytes] | None = None) -> Column:

@@ -35,6 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch for whole texts; Spark's default of 10,000 holds tens of MB on both sides of the pipe.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def over_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in small batches, unless the session sets a size itself; unused Arrow memory goes back after each batch."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+    def tidy(batches):
+        import pyarrow as pa
+
+        for out in run(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once. An expression used inside a lambda would be computed for every element."""
     return F.transform(F.array(value), body)[0]

@@ -324,4 +324,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, distance: int = D
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(salts))
     in_group = linked.join(lowest, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("grouped"))
     of_fp = distinct.join(in_group, "fp", "left").select("fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+    # a table again, so both sides of the last join are dealt by it and a fingerprint of very many copies can be split
+    of_fp = written(of_fp, "classes")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quireflow.llm.bpe import REMEMBERED, fold
+from quireflow.llm.common import over_arrow
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -93,4 +94,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return over_arrow(df.select(id_col, text_col), run, schema)

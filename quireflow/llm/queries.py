@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm.common import table
+from quireflow.llm.oracles import ORACLES
 
 #: Vocabulary files of the installed package of public tokenizers.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -83,5 +84,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_llr_quality, op2_simhash_gph, op3_url_reputation, op4_jump_sharding, op5_byte_bpe, op6_fair_mixing, op7_semicrf_pii, op8_grace_dedup, op9_token_counts, op10_license_scan)
 }
-
-ORACLES: dict[str, str] = {}

@@ -2,7 +2,8 @@
 
 A block of documents is split into pre-tokens; the pieces of each distinct pre-token are counted once, the counts are
 joined to the documents' pre-token frequencies, and the products are summed. The join is local to the block, so there
-is no shuffle, and the remembered counts are bounded (bpe.REMEMBERED).
+is no shuffle, and the remembered counts are bounded (REMEMBERED): when the younger half is full, the older one goes,
+and words that are met again have moved over by then.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quireflow.llm.bpe import REMEMBERED, fold
+from quireflow.llm.bpe import fold
 from quireflow.llm.common import over_arrow
 
+#: Pre-tokens whose counts a Python worker keeps, in two generations; about 150 bytes each, 90 MB in all.
+REMEMBERED = 600_000
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest for 256 upwards."""
@@ -45,6 +49,7 @@ class Counts:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         total = 0
@@ -53,16 +58,16 @@ class Counts:
             total, texts = len(parts) - 1, parts
         else:
             texts = [text]
-        known = self.known
         for part in texts:
-            often = Counter(self.find(part))
+            often, known = Counter(self.find(part)), self.known
             fresh = [w for w in often if w not in known]
             if fresh:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    fresh = list(often)
+                if len(known) > REMEMBERED // 2:
+                    self.older, self.known = known, {}
+                    known, fresh = self.known, list(often)
                 for w in fresh:
-                    known[w] = len(fold(w.encode(), self.ranks))
+                    n = self.older.get(w)
+                    known[w] = len(fold(w.encode(), self.ranks)) if n is None else n
             total += sum([known[w] * n for w, n in often.items()])
         return total
 

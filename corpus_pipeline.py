@@ -20,12 +20,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*docs.columns)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs whose id is in ``decisions``; rows of a null id stay, as no decision names them."""
-    ids = decisions.select(F.col("doc_id").alias("kept_id")).where("kept_id is not null").distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
     from quireflow.llm.exact import kept_rows
@@ -34,10 +28,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    from quireflow.llm.simhash import near_duplicates
+    """One document, that of the smallest id, of each group whose 5-word shingles are similar by 0.8 or more."""
+    from quireflow.llm.nearsets import first_of_each
 
-    return _kept(docs, near_duplicates(docs, "doc_id", "text").where("doc_id = component_id"))
+    return first_of_each(docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quireflow.llm.common import table, written
 
@@ -35,12 +36,18 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as often as it takes them."""
+    """Documents that the mix takes, as often as it takes them: each row by its own count, null and repeated ids too."""
     from quireflow.llm.mixing import mix
 
-    times = mix(docs, "doc_id", "text", "source").where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("mixed_times"))
-    rows = docs.join(times, F.col("doc_id") == F.col("mixed_id"))
-    return rows.withColumn("mixed_turn", F.explode(F.sequence(F.lit(1), F.col("mixed_times")))).select(*docs.columns)
+    # rows of one key are numbered on both sides, as their counts may differ; they are equal in what the mix reads
+    parts = ("doc_id", "text", "source")
+    key = F.xxhash64(*parts, *(F.col(c).isNull() for c in parts))
+    mixed = mix(docs, "doc_id", "text", "source", key=key)
+    turn = Window.partitionBy("mix_key").orderBy(F.desc("taken"))
+    times = mixed.withColumn("mix_turn", F.row_number().over(turn)).where("taken > 0").select("mix_key", "mix_turn", (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
+    rest = [c for c in docs.columns if c not in parts]
+    rows = docs.withColumn("mix_key", key).withColumn("mix_turn", F.row_number().over(Window.partitionBy("mix_key").orderBy(*rest, F.lit(0))))
+    return rows.join(times, ["mix_key", "mix_turn"]).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

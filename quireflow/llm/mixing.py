@@ -74,7 +74,7 @@ def _cut(placed: DataFrame, budget: int, repeats: int) -> tuple[float, int, int,
     return tuple(first_out[0][c] for c in order) if first_out else None
 
 
-def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix") -> DataFrame:
+def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix", key: Column | None = None) -> DataFrame:
     """Every row with size, its source's size and target, the words taken, and the finish time of its first serving.
 
     The budget is all words. Nothing holds a source in one task: running totals are made in (source, hash prefix)
@@ -82,17 +82,18 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     is by MD5 of seed and id, so reruns agree; rows that are equal in all columns are interchangeable.
 
     Null texts have size 0; a null source is a source, the last; documents of size 0 take 0; other columns are not
-    read; an empty table gives an empty result.
+    read; an empty table gives an empty result. ``key``, if given, goes along as the column mix_key.
     """
+    also = [] if key is None else ["mix_key"]
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_REGEX)).cast("long")
     skey = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sizes = written(df.select(F.col(id_col).alias("doc_id"), skey.alias("skey"), size.alias("size"), draw.alias("draw")).withColumn("cell", F.substring("draw", 1, 3)), "mix-sizes")
+    sizes = written(df.select(F.col(id_col).alias("doc_id"), skey.alias("skey"), size.alias("size"), draw.alias("draw"), *([] if key is None else [key.alias("mix_key")])).withColumn("cell", F.substring("draw", 1, 3)), "mix-sizes")
 
     targets = source_targets(sizes, weights, repeats)
     up_to_cell = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = sizes.groupBy("skey", "cell").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(up_to_cell), F.lit(0))).drop("n").join(targets, "skey")
-    in_cell = Window.partitionBy("skey", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_cell = Window.partitionBy("skey", "cell").orderBy("draw", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = written(sizes.join(cells, ["skey", "cell"]).withColumn("cum", F.col("before") + F.sum("size").over(in_cell)).drop("before", "cell", "draw"), "mix-placed")
 
     budget = placed.agg(F.sum("size")).first()[0] or 0
@@ -110,5 +111,5 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     return placed.select(
         "doc_id", "size", "source_size", "target",
         F.when(some, F.col("size") * times).otherwise(0).cast("long").alias("taken"),
-        F.when(some, F.col("cum") / F.col("target")).alias("finish"),
+        F.when(some, F.col("cum") / F.col("target")).alias("finish"), *also,
     )

@@ -78,10 +78,13 @@ _STRETCH = re.compile(
     r"|[(+]?[0-9](?:[\x20().+/-]{0,3}[0-9])+"
 )
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20{0,2}[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20{0,2}[A-Za-z0-9-]{1,63}(?:(?:\.|\x20{0,2}[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20{0,2})[A-Za-z0-9-]{1,63}){1,5}")
-_TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
+#: A colon-separated hex group is one token, as its digits and letters are no entity's boundary.
+_TOKEN = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}(?=:)|(?<=:)[0-9A-Fa-f]{1,4}(?![0-9A-Za-z])|[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
-#: Tokens of an entity, and digit groups of one that is neither spelt out nor colon-separated.
-MAX_TOKENS, MAX_GROUPS = 24, 6
+#: Tokens of an entity, and digit groups of one that is neither spelt out nor colon-separated: a full IPv6 address has 15
+#: tokens, 00 and 15 digits in pairs after a code of one digit have 9 groups and 17 tokens with single separators, up to
+#: 33 with separators of three. A spelt-out address may be longer; its whole stretch is proposed as well.
+MAX_TOKENS, MAX_GROUPS = 40, 10
 _CUES = {w: k for k, ws in {"phone": ("tel", "phone", "call", "mobile", "fax", "cell"), "card": ("card", "visa", "credit", "mastercard"), "ip": ("ip", "host", "server", "ipv"), "email": ("mail", "email", "contact", "write")}.items() for w in ws}
 _TLD = frozenset(("com", "net", "org", "edu", "gov", "io", "de", "fr", "es", "uk", "info"))
 _SHAPE = re.compile(r"[0-9]+")
@@ -100,6 +103,8 @@ def features(text: str, start: int, end: int) -> list[str]:
         for mark, name in (("(", "paren"), ("/", "slash"), (".", "dot"), ("-", "dash"), (" ", "space"), ("+", "plus")):
             if mark in s:
                 out.append(name)
+    if re.match(r"00[0-9\x20().-]", s):
+        out.append("prefix 00")
     if 13 <= n <= 19:
         out.append(f"luhn {luhn(digits)}")
     if s.count(":") >= 2:
@@ -133,7 +138,7 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
     """Tokens of a stretch, and for each token the candidate spans that begin with it: (tokens, features)."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     spelt = any(text[a:b] in ("at", "AT") for a, b in tokens)
-    numbers = [b - a if text[a].isdigit() else 0 for a, b in tokens]
+    numbers = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in tokens]
     out: list[list[tuple[int, list[str]]]] = []
     for i, (a, _) in enumerate(tokens):
         mine, n, groups = [], 0, 0
@@ -147,6 +152,8 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
                     break
                 if (7 <= n <= 19 and groups <= MAX_GROUPS) or (spelt and any(text[x:y] in ("at", "AT") for x, y in tokens[i : j + 1])) or text.count(":", a, b) >= 2:
                     mine.append((j - i + 1, features(text, a, b)))
+            if spelt and i == 0 and len(tokens) > MAX_TOKENS:
+                mine.append((len(tokens), features(text, a, tokens[-1][1])))
         out.append(mine)
     return tokens, out
 
@@ -260,6 +267,19 @@ def _made(rng: random.Random) -> tuple[str, list[Span]]:
     return line, [(kind, len(head), len(head) + len(body))] if kind != "none" else []
 
 
+def _made_abroad(rng: random.Random) -> tuple[str, list[Span]]:
+    """A line with a number of the prefix 00 in groups as they are written abroad."""
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    code = rng.choice([rng.choice("17"), str(rng.randint(20, 99)), str(rng.randint(200, 999))])
+    sizes = rng.choice([(1, 2, 2, 2, 2), (2, 2, 2, 2, 2), (3, 3, 4), (2, 3, 2, 2), (2, 4, 4), (3, 2, 2, 2), (1, 2, 2, 2, 2, 2), (2, 2, 2, 2, 2, 2)])
+    gap = rng.choice([" ", " ", " ", "-", "."])
+    body = gap.join([rng.choice(["00", "00", "00" + code]), code, *map(num, sizes)])
+    if body.startswith("00" + code):
+        body = gap.join(["00" + code, *map(num, sizes)])
+    head = rng.choice(["", "call ", "tel ", "phone: ", "mobile ", "ththes ", "eran ioner "])
+    return f"{head}{body}{rng.choice(['', '.', ',', ' ther'])} ining", [("phone", len(head), len(head) + len(body))]
+
+
 #: Size of the made training set, passes over it, step and decay of the fit; the penalty of adding a span at decoding.
 LINES, PASSES, RATE, DECAY, CAUTION = 1500, 6, 0.25, 1e-4, 2.0
 
@@ -273,8 +293,9 @@ def examples(seed: int, lines: int) -> Iterator[tuple[str, list[Span]]]:
 @functools.lru_cache(maxsize=1)
 def trained() -> dict:
     """Weights by stochastic gradient ascent of the conditional log likelihood; the same in every run."""
-    data = []
-    for line, gold in examples(7, LINES):
+    data, rng = [], random.Random(8)
+    lines = [x for k, line in enumerate(examples(7, LINES)) for x in ([line, _made_abroad(rng)] if k % 4 == 0 else [line])]
+    for line, gold in lines:
         for a, b in stretches(line):
             tokens, candidates = segments(line, a, b)
             starts, ends = {t[0]: k for k, t in enumerate(tokens)}, {t[1]: k + 1 for k, t in enumerate(tokens)}

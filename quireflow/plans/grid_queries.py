@@ -11,45 +11,44 @@ from quireflow.sources.words import read
 
 
 def _pages(spark, sf_dir):
-    """A page for each supplier, which shows its record as four lines."""
-    record = F.concat_ws("\n", "s_name", F.concat(F.lit("Nation: "), "s_nationkey"), F.concat(F.lit("Balance: "), F.format_string("%.2f", "s_acctbal")), F.concat(F.lit("No. "), "s_suppkey"))
-    return g.synthetic_pages(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), record.alias("text")))
+    """All pages of all documents, whole texts."""
+    return g.paged(read(spark, sf_dir, "documents"))
 
 
 def sauvola_ink(spark, sf_dir):
-    return g.per_image(_pages(spark, sf_dir), "page_id long, n_ink long, otsu int, polarity string", lambda p, a: [(p, int(g.sauvola(a, 12).sum()), g.otsu_split(g.histogram(a)), g.polarity(a))])
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, n_ink long, otsu int, polarity string", lambda p, k, a: [(p, k, int(g.sauvola(a, 12).sum()), g.otsu_split(g.histogram(a)), g.polarity(a))])
 
 
 def components(spark, sf_dir):
-    def of(page, a):
-        return [(page, k + 1, *map(int, b)) for k, b in enumerate(g.components(g.sauvola(a, 12))[1])]
+    def of(page, number, a):
+        return [(page, number, k + 1, *map(int, b)) for k, b in enumerate(g.components(g.sauvola(a, 12))[1])]
 
-    return g.per_image(_pages(spark, sf_dir), "page_id long, label int, x0 int, y0 int, x1 int, y1 int, area int", of)
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, label int, x0 int, y0 int, x1 int, y1 int, area int", of)
 
 
 def rules(spark, sf_dir):
-    return g.per_image(_pages(spark, sf_dir), "page_id long, n_rule long", lambda p, a: [(p, int(g.rules(g.sauvola(a, 12), 40).sum()))])
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, n_rule long", lambda p, k, a: [(p, k, int(g.rules(g.sauvola(a, 12), 40).sum()))])
 
 
 def skew_kernel(spark, sf_dir):
-    return g.per_image(_pages(spark, sf_dir), "page_id long, angle double, confidence double", lambda p, a: [(p, *g.skew(g.sauvola(a, 12)))])
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, angle double, confidence double", lambda p, k, a: [(p, k, *g.skew(g.sauvola(a, 12)))])
 
 
 def text_erasure(spark, sf_dir):
-    def of(page, a):
+    def of(page, number, a):
         ink = g.sauvola(a, 12)
         clean = g.erased(a, ink)
-        return [(page, round(g.mean_error(clean, 215 + 20 * np.arange(a.shape[1]) / a.shape[1]), 6), bool((clean == a)[~g.dilated(ink, 2)].all()))]
+        return [(page, number, round(g.mean_error(clean, 215 + 20 * np.arange(a.shape[1]) / a.shape[1]), 6), bool((clean == a)[~g.dilated(ink, 2)].all()))]
 
-    return g.per_image(_pages(spark, sf_dir), "page_id long, error double, untouched boolean", of)
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, error double, untouched boolean", of)
 
 
 def page_measures(spark, sf_dir):
-    def of(page, a):
+    def of(page, number, a):
         flat, ink = g.flattened(a), g.sauvola(a, 12)
-        return [(page, g.text_height(a), len(g.headline_words(a, 8)), round(float(flat.mean()), 4), round(float(g.distance(ink).max()), 6), round(g.iou(ink, g.sauvola(flat, 12)), 6), round(g.stroke_width(ink), 6))]
+        return [(page, number, g.text_height(a), len(g.headline_words(a, 8)), round(float(flat.mean()), 4), round(float(g.distance(ink).max()), 6), round(g.iou(ink, g.sauvola(flat, 12)), 6), round(g.stroke_width(ink), 6))]
 
-    return g.per_image(_pages(spark, sf_dir), "page_id long, text_height int, headlines int, paper double, thickest double, iou double, stroke double", of)
+    return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, text_height int, headlines int, paper double, thickest double, iou double, stroke double", of)
 
 
 def _pixels(spark, sf_dir):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import WS_CHARS
+from quireflow.llm.common import WS_CHARS, over_arrow, quoted, spill_folder
 
 #: Bytes of contents that a table may hold before its bucket is parted.
 TABLE_BYTES = 24 << 20
@@ -39,17 +39,22 @@ def better(n: int, row_id: object, other_n: int, other_id: object) -> bool:
 
 
 class OpenTable:
-    """Open addressing with linear probing; a slot matches only if the complete contents are equal."""
+    """Open addressing with linear probing; a slot matches only if the complete contents are equal.
 
-    def __init__(self, slots: int = 1024):
-        self.slots: list[int] = [-1] * slots
+    A record's first slot is the top bits of its hash times an odd number: all bits of the hash move them, so records that
+    the recursion has sorted by their low bits still spread over the whole table.
+    """
+
+    def __init__(self, bits: int = 10):
+        self.shift = 64 - bits
+        self.slots: list[int] = [-1] * (1 << bits)
         self.rows: list[list] = []
         self.bytes = 0
 
     def add(self, rec: Record) -> None:
         h, digest, content, rows, n, row_id, whole = rec
         mask = len(self.slots) - 1
-        at = h & mask
+        at = self.first(h)
         while (k := self.slots[at]) >= 0:
             row = self.rows[k]
             if row[0] == h and row[2] == content:
@@ -64,11 +69,15 @@ class OpenTable:
         if 2 * len(self.rows) > len(self.slots):
             self._grow()
 
+    def first(self, h: int) -> int:
+        return (h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> self.shift
+
     def _grow(self) -> None:
         size = 2 * len(self.slots)
+        self.shift -= 1
         self.slots, mask = [-1] * size, size - 1
         for k, row in enumerate(self.rows):
-            at = row[0] & mask
+            at = self.first(row[0])
             while self.slots[at] >= 0:
                 at = (at + 1) & mask
             self.slots[at] = k
@@ -117,9 +126,8 @@ def _folded(id_col: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for row_id, text in zip(ids, batch.column(1), strict=True):
-                text = text.as_py() or ""
+            for row_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                row_id, text = row_id.as_py(), text.as_py() or ""
                 content = normalised(text)
                 digest = hashlib.sha256(content).digest()
                 table.add((int.from_bytes(digest[:8], "little"), digest, content, 1, len(text), row_id, None))
@@ -142,8 +150,10 @@ def _batch(rows: list[list], id_col: str, whole: bool) -> pa.RecordBatch:
 
 def classes(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES) -> DataFrame:
     """(digest, keep_id, most, group_size) for each different text, white space apart."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind = df.schema[id_col].dataType
-    as_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    as_arrow = to_arrow_type(kind)
     fold = _folded(id_col, limit)
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +171,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES)
                     # the leading bytes chose the task; the spill files take other ones
                     yield int.from_bytes(d[8:16], "little"), d, content.as_py(), rows.as_py(), most.as_py(), keep.as_py(), None
 
-        with tempfile.TemporaryDirectory() as folder:
+        with tempfile.TemporaryDirectory(dir=spill_folder()) as folder:
             out: list[list] = []
             for row in grouped(records(), folder, 0, limit):
                 out.append(row)
@@ -172,8 +182,9 @@ def classes(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES)
                 yield from typed(iter([_batch(out, id_col, False)]))
 
     id_type = kind.simpleString()
-    records = df.select(id_col, text_col).mapInArrow(local, f"digest binary, content binary, rows long, most long, keep_id {id_type}")
-    out = records.repartition("digest").mapInArrow(merged, f"digest binary, rows long, most long, keep_id {id_type}")
+    rows = df.select(F.col(quoted(id_col)).alias("row_id"), F.col(quoted(text_col)).alias("text"))
+    records = over_arrow(rows, local, f"digest binary, content binary, rows long, most long, keep_id {id_type}")
+    out = over_arrow(records.repartition("digest"), merged, f"digest binary, rows long, most long, keep_id {id_type}")
     return out.select("digest", "keep_id", "most", F.col("rows").alias("group_size"))
 
 
@@ -184,8 +195,9 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BY
     Null texts are empty texts. Rows that repeat id and text together count in group_size each, and are kept or not
     together, as one record written twice. Other columns are not read. An empty table gives an empty result.
     """
-    bare = F.translate(F.coalesce(F.col(text_col), F.lit("")), WS_CHARS, "")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.encode(bare, "UTF-8"), 256)).alias("digest"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    bare = F.translate(text, WS_CHARS, "")
+    rows = df.select(F.col(quoted(id_col)).alias("doc_id"), F.unhex(F.sha2(F.encode(bare, "UTF-8"), 256)).alias("digest"), F.char_length(text).cast("long").alias("n"))
     found = classes(df, id_col, text_col, limit)
     return rows.join(found, "digest").select(
         "doc_id", "keep_id", "group_size",
@@ -195,12 +207,15 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BY
 
 
 def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTES) -> DataFrame:
-    """df's rows that stay, whole, one for each different text: what a pipeline goes on with.
+    """df's rows that stay, whole, one for each different text (white space apart): what a pipeline goes on with.
 
-    The rows themselves go through the partitioning, so texts cross the network once and nothing is joined back.
+    The row of most code points stays, then of the smallest id, null last; of rows equal in these any one. Null texts are
+    empty texts. Any columns and column names; an empty table gives an empty result. The rows themselves go through the
+    partitioning, so texts cross the network once and nothing is joined back.
     """
-    names, schema = df.columns, df.schema
-    at_id, at_text = names.index(id_col), names.index(text_col)
+    # names by position inside, as Spark's Arrow functions take no dots in names
+    names, schema = [f"c{k}" for k in range(len(df.columns))], df.toDF(*[f"c{k}" for k in range(len(df.columns))]).schema
+    at_id, at_text = df.columns.index(id_col), df.columns.index(text_col)
 
     def record(row: tuple) -> Record:
         text = row[at_text] or ""
@@ -219,7 +234,7 @@ def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTE
         def made() -> pa.RecordBatch:
             cols = [pa.array([r[6][k] for r in buffered], kind.field(k).type) for k in range(len(names))]
             if with_digest:
-                return pa.RecordBatch.from_arrays([*cols, pa.array([r[1] for r in buffered], pa.binary())], [*names, "_digest"])
+                return pa.RecordBatch.from_arrays([*cols, pa.array([r[1] for r in buffered], pa.binary())], [*names, "digest"])
             return pa.RecordBatch.from_arrays(cols, names)
 
         size = 0
@@ -253,7 +268,7 @@ def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTE
                 for row in rows_of(b):
                     yield record(row)
 
-        with tempfile.TemporaryDirectory() as folder:
+        with tempfile.TemporaryDirectory(dir=spill_folder()) as folder:
             found = grouped(records(), folder, 0, limit)
             first = next(found, None)
             if first is not None:
@@ -263,5 +278,5 @@ def kept_rows(df: DataFrame, id_col: str, text_col: str, limit: int = TABLE_BYTE
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    dealt = df.mapInArrow(local, StructType([*schema.fields, StructField("_digest", BinaryType())])).repartition("_digest")
-    return dealt.mapInArrow(merged, schema)
+    dealt = over_arrow(df.toDF(*names), local, StructType([*schema.fields, StructField("digest", BinaryType())])).repartition("digest")
+    return over_arrow(dealt, merged, schema).toDF(*df.columns)

@@ -74,7 +74,7 @@ FROM ruled
 OP6_FAIR_MIXING = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS row_id, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents
 ), sources AS (
   SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) - 1 AS rank FROM docs GROUP BY skey
@@ -91,20 +91,22 @@ WITH docs AS (
   SELECT l.skey, l.source_size, l.rank,
          CASE WHEN o.rank IS NULL OR (l.full_at, l.rank) < (o.full_at, o.rank) THEN l.cap ELSE l.weight * o.level END AS target
   FROM levels l LEFT JOIN first_open o ON TRUE
+), entries AS (
+  SELECT skey, draw, sum(size)::BIGINT AS words FROM docs GROUP BY skey, draw
 ), placed AS (
-  SELECT row_id, doc_id, size, source_size, rank, target,
-         sum(size) OVER (PARTITION BY d.skey ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cum
-  FROM docs d JOIN targets t ON d.skey = t.skey
+  SELECT e.skey, draw, words, source_size, rank, target,
+         sum(words) OVER (PARTITION BY e.skey ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cum
+  FROM entries e JOIN targets t ON e.skey = t.skey
 ), copies AS (
-  SELECT row_id, size, rank, epoch, cum, (epoch * source_size + cum) / target AS finish
-  FROM placed, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND target > 0
+  SELECT skey, draw, words, rank, epoch, cum, (epoch * source_size + cum) / target AS finish
+  FROM placed, (SELECT unnest([0, 1, 2]) AS epoch) WHERE words > 0 AND target > 0
 ), queued AS (
-  SELECT row_id, sum(size) OVER (ORDER BY finish, rank, epoch, cum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM copies
+  SELECT skey, draw, sum(words) OVER (ORDER BY finish, rank, epoch, cum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM copies
 ), served AS (
-  SELECT row_id, count(*) AS times FROM queued WHERE upto <= (SELECT sum(size) FROM docs) GROUP BY row_id
+  SELECT skey, draw, count(*) AS times FROM queued WHERE upto <= (SELECT sum(size) FROM docs) GROUP BY skey, draw
 )
-SELECT doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken, CASE WHEN size > 0 AND target > 0 THEN cum / target END AS finish
-FROM placed p LEFT JOIN served s ON p.row_id = s.row_id
+SELECT doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken
+FROM docs d JOIN targets t ON d.skey = t.skey LEFT JOIN served s ON d.skey = s.skey AND d.draw = s.draw
 """
 
 OP8_GRACE_DEDUP = r"""

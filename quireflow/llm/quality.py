@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import WS_CHARS, let, words_of
+from quireflow.llm.common import WS_CHARS, columns, fresh, let, quoted, words_of
 
 #: Buckets of the hashed n-grams, the unit of a ratio, and the score below which a document goes (nats an n-gram).
 BUCKETS, UNIT, THRESHOLD = 1 << 14, 1 << 20, -0.04
@@ -42,7 +42,7 @@ def _pair(h: Column, x: Column, i: Column) -> Column:
 def bucket_counts(df: DataFrame, id_col: str, text_col: str, trusted: DataFrame) -> dict[int, tuple[int, int]]:
     """bucket -> (count in all documents, count in trusted ones); trusted has at most TRUSTED_DOCS ids, one a row."""
     flag = F.broadcast(trusted.select(F.col(trusted.columns[0]).alias("trusted_id"), F.lit(1).alias("trusted")))
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text")).join(flag, F.col("row_id") == F.col("trusted_id"), "left")
+    rows = df.select(F.col(quoted(id_col)).alias("row_id"), F.col(quoted(text_col)).alias("row_text")).join(flag, F.col("row_id") == F.col("trusted_id"), "left")
     grams = let(_hashes(words_of(F.col("row_text"))), lambda h: F.concat(F.transform(h, _bucket), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: _bucket(_pair(h, x, i)))))
     found = rows.select(F.explode(grams).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("trusted").alias("t")).collect()
     return {r["bucket"]: (r["n"], r["t"]) for r in found}
@@ -110,29 +110,41 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """Every row with its base counts, base_failed, llr and kept (with df's own columns if keep_columns).
-
-    Null texts have no words and fail the base rules. Repeated rows and null ids are judged like any; columns of df
-    with these names are replaced; an empty table gives an empty result. Texts are scored as a whole, and nothing but
-    bucket counts is shuffled.
-    """
+def _judged(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, dict[str, Column]]:
+    """df with one more column of a name of its own, and the results' expressions over it."""
     ratios = log_ratios(bucket_counts(df, id_col, text_col, trusted))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     bare = F.char_length(F.translate(text, WS_CHARS, ""))
     symbols = F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WS_CHARS, "") != "")
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     of_words = let(_hashes(words_of(text)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"), score(h, ratios).alias("score")))
     # a generator, unlike a projection, is never copied into the filters and columns that read it
-    found = df.select(*[c for c in df.columns], F.explode(F.array(of_words)).alias("_quality"))
-    n, repeat, grams = F.col("_quality.n_words"), F.col("_quality.n_repeat_words"), F.greatest(2 * F.col("_quality.n_words") - 1, F.lit(1))
+    (own,) = fresh(df, "_quality")
+    found = df.select(*columns(df), F.explode(F.array(of_words)).alias(own))
+    n, repeat, total = (F.col(own)[c] for c in ("n_words", "n_repeat_words", "score"))
+    grams = F.greatest(2 * n - 1, F.lit(1))
     failed = (n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n)
-    good = F.col("_quality.score") >= F.floor(F.lit(threshold * UNIT)).cast("long") * grams
+    good = total >= F.floor(F.lit(threshold * UNIT)).cast("long") * grams
     named = {
         "n_words": n, "word_chars": bare.cast("long"), "n_symbols": symbols.cast("long"), "n_dup_lines": dup.cast("long"), "n_repeat_words": repeat,
-        "base_failed": failed, "llr": F.round(F.col("_quality.score") / (grams * F.lit(float(UNIT))), 6), "kept": ~failed & good,
+        "base_failed": failed, "llr": F.round(total / (grams * F.lit(float(UNIT))), 6), "kept": ~failed & good,
     }
-    if keep_columns:
-        return found.select(*[c for c in df.columns if c not in named], *[v.alias(k) for k, v in named.items()])
-    return found.select(F.col(id_col).alias("doc_id"), *[v.alias(k) for k, v in named.items()])
+    return found, named
+
+
+def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Every row with its base counts, base_failed, llr and kept.
+
+    Null texts have no words and fail the base rules. Repeated rows and null ids are judged like any; other columns are
+    not returned, whatever their names; an empty table gives an empty result. Texts are scored as a whole, and nothing
+    but bucket counts is shuffled.
+    """
+    found, named = _judged(df, trusted, id_col, text_col, threshold)
+    return found.select(F.col(quoted(id_col)).alias("doc_id"), *[v.alias(k) for k, v in named.items()])
+
+
+def good_rows(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df's rows that ``judge`` keeps, whole, with any columns and column names; repeated rows and null ids are judged like any."""
+    found, named = _judged(df, trusted, id_col, text_col, threshold)
+    return found.where(named["kept"]).select(*columns(df))

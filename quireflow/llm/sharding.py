@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quireflow.llm.common import written
+from quireflow.llm.common import spread, written
 
 LOW = 0xFFFFFFFF
 #: Multiplier of the 64-bit linear congruential generator of the published algorithm (fixed value).
@@ -74,7 +74,5 @@ def shard_documents(df: DataFrame, id_col: str, text_col: str, shards: int = 16)
     cells = rows.groupBy("shard", "cell").agg(F.sum("copies").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before"))
     in_cell = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(F.broadcast(cells), ["shard", "cell"]).withColumn("first", F.col("before") + F.coalesce(F.sum("copies").over(in_cell), F.lit(0)))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"), "grown_shard",
-    )
+    dealt = spread(F.col("copies"), "copy", placed, *[F.col(c) for c in ("doc_id", "size", "text_crc32", "shard", "grown_shard", "first")])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")

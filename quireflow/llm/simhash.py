@@ -17,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import written
+from quireflow.llm.common import dropped, over_arrow, quoted, written
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Bits in which linked fingerprints may differ.
 DISTANCE = 4
-#: Widths of parts by the number of distinct fingerprints: four parts of 16 bits keep the tables of counts at 4 x 65,536 entries; past MANY fingerprints three parts of 22, 21 and 21 bits.
+#: Widths of parts by the number of distinct fingerprints: four parts of 16 bits keep the tables of counts at 4 x 65,536 entries;
+#: past MANY fingerprints three parts of 22, 21 and 21 bits, whose tables hold 8.4 million counts of 4 bytes.
 MANY = 1 << 27
+#: Rows from which a bucket is parted into blocks, each pair of which is a task's own group.
+BUCKET_ROWS = 1 << 16
 #: Shares that the fingerprints of a component are dealt to.
 SALTS = 8
 #: Fingerprints of a bucket that are compared at a time.
@@ -36,7 +39,11 @@ SMALL = 32
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp): SimHash of XXH64 (seed 42) of the text's 4-word shingles, A-Z lower-cased, repeats included."""
+    """(doc_id, fp): SimHash of XXH64 (seed 42) of the text's 4-word shingles, A-Z lower-cased, repeats included.
+
+    A text of fewer words is one shingle; one without words (null, empty) has fingerprint 0. Null ids and repeated rows
+    stay; other columns are not read; an empty table gives an empty result.
+    """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def of(text: str | None) -> int:
@@ -64,7 +71,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fps = [of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return over_arrow(df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), run, f"doc_id {id_type}, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -138,7 +145,11 @@ def allocate(costs: np.ndarray, total: int) -> np.ndarray:
 
 
 def _probes(distinct: DataFrame, parts: list[list[int]], counts: list[np.ndarray], distance: int) -> DataFrame:
-    """(part, value, fp, probe): each fingerprint once in its own bucket of each part, and once in each bucket that it probes."""
+    """(part, value, first, second, fp, probe): each fingerprint in its own bucket of each part and in each bucket that it probes.
+
+    A bucket that is estimated (own fingerprints and those one bit away) at more than BUCKET_ROWS is parted into
+    blocks by a hash of the fingerprint, and a row goes to the pairs (first, second) of blocks that hold its own.
+    """
     widths, total = [len(p) for p in parts], distance - len(parts) + 1
     most = max(0, total + len(parts) - 1)
     masks = [[ball(w, r) for r in range(most + 1)] for w in widths]
@@ -162,7 +173,7 @@ def _probes(distinct: DataFrame, parts: list[list[int]], counts: list[np.ndarray
                         sum_so_far = sum_so_far + near + per_probe * len(masks[i][r])
                         costs[:, i, r + 1] = sum_so_far
                 thresholds = allocate(costs, total)
-                part, value, fp, probe = [], [], [], []
+                part, value, fp, probe, blocks = [], [], [], [], []
                 for i in range(len(parts)):
                     part.append(np.full(len(fps), i, np.int32)), value.append(values[i]), fp.append(fps), probe.append(np.zeros(len(fps), bool))
                     for r in range(min(most + 1, limit[i])):
@@ -171,12 +182,22 @@ def _probes(distinct: DataFrame, parts: list[list[int]], counts: list[np.ndarray
                             continue  # its own bucket holds it already
                         v = (values[i][who][:, None] ^ masks[i][r][None, :]).ravel()
                         part.append(np.full(len(v), i, np.int32)), value.append(v), fp.append(np.repeat(fps[who], len(masks[i][r]))), probe.append(np.ones(len(v), bool))
+                for p, v in zip(part, value, strict=True):
+                    i = int(p[0]) if len(p) else 0
+                    size = shared.value[i][v].astype(np.int64) + sum(shared.value[i][v ^ (1 << b)].astype(np.int64) for b in range(widths[i]))
+                    blocks.append(np.maximum(1, -(-size // BUCKET_ROWS)))
+                part, value, fp, probe, blocks = (np.concatenate(c) for c in (part, value, fp, probe, blocks))
+                # a row of a bucket of n blocks is n rows, one for each block that its own meets
+                again = np.repeat(np.arange(len(fp)), blocks)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                mine = (((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks)[again]
+                first, second = np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part)), pa.array(np.concatenate(value)), pa.array(np.concatenate(fp)), pa.array(np.concatenate(probe))],
-                    ["part", "value", "fp", "probe"],
+                    [pa.array(part[again]), pa.array(value[again]), pa.array(first), pa.array(second), pa.array(fp[again]), pa.array(probe[again])],
+                    ["part", "value", "first", "second", "fp", "probe"],
                 )
 
-    return distinct.select("fp").mapInArrow(run, "part int, value long, fp long, probe boolean")
+    return distinct.select("fp").mapInArrow(run, "part int, value long, first int, second int, fp long, probe boolean")
 
 
 def bucket_links(own: np.ndarray, probing: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -243,15 +264,19 @@ def _links(probes: DataFrame, distance: int) -> DataFrame:
                     out.extend(bucket_links(mine[~asks], mine[asks], distance))
 
         pending: list[tuple[np.ndarray, ...]] = []
+        last = None
         for batch in batches:
-            part, value, fp, probe = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            part, value, first, second, fp, probe = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             if not len(part):
                 continue
-            key, probe = (part.astype(np.int64) << 40) | value, probe.astype(bool)
+            # rows of a group are neighbours; a number for each group of this batch, going on from the group left open
+            names, probe = np.stack([part.astype(np.int64), value, first.astype(np.int64), second.astype(np.int64)]), probe.astype(bool)
+            step = np.concatenate(([not (pending and (names[:, 0] == last).all())], (np.diff(names, axis=1) != 0).any(axis=0)))
+            key, last = (pending[-1][0][-1] if pending else 0) + np.cumsum(step), names[:, -1]
             pending.append((key, fp.astype(np.int64), probe))
             if key[-1] != pending[0][0][0]:
                 key, fp, probe = (np.concatenate(c) for c in zip(*pending, strict=True))
-                cut = int(np.searchsorted(key, key[-1])) if (np.diff(key) >= 0).all() else int(np.flatnonzero(np.diff(key))[-1]) + 1
+                cut = int(np.searchsorted(key, key[-1]))
                 close(key[:cut], fp[:cut], probe[:cut])
                 pending = [(key[cut:], fp[cut:], probe[cut:])]
             if len(out) > 50_000:
@@ -260,16 +285,17 @@ def _links(probes: DataFrame, distance: int) -> DataFrame:
             close(*(np.concatenate(c) for c in zip(*pending, strict=True)))
         yield flush()
 
-    return probes.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
+    group = ["part", "value", "first", "second"]
+    return probes.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node with a link: root is the smallest node of its component.
 
     Alternates large-star and small-star steps until nothing moves. Every step's links are a written table, so lineage
-    stays short and a lost executor costs one step. Rows are folded by distinct before they move on.
+    stays short and a lost executor costs one step; the step before is deleted. Rows are folded by distinct before they
+    move on. The result is a written table.
     """
-    spark = links.sparkSession
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
@@ -279,14 +305,17 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        edges = written(small, "links")
+        old, edges = edges, written(small, "links")
+        dropped(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+            dropped(edges)
+            return out
         before = tuple(now)
 
 
-def _links_of(spark: SparkSession, distinct: DataFrame, distance: int) -> DataFrame:
+def _links_of(distinct: DataFrame, distance: int) -> DataFrame:
     n, both = bit_statistics(distinct)
     widths = (16, 16, 16, 16) if n < MANY else (22, 21, 21)
     parts = grouped_bits(n, both, widths)
@@ -302,9 +331,12 @@ def _links_of(spark: SparkSession, distinct: DataFrame, distance: int) -> DataFr
             some = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int64)), pa.array(s[some])], ["part", "value", "n"])
 
-    # at most 4 x 65,536 (3 x 2^22) rows: bounded by the widths, not by the data
-    for r in distinct.select("fp").mapInArrow(run, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["part"]][r["value"]] = min(r["n"], 2**31 - 1)
+    # at most 4 x 65,536 (8.4 million) rows: bounded by the widths, not by the data
+    found = distinct.select("fp").mapInArrow(run, "part int, value long, n long").groupBy("part", "value").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    table = found.select("part", F.col("value").cast("int").alias("value"), "n").toArrow()
+    part, value, n = (table.column(k).to_numpy() for k in range(3))
+    for i in range(len(widths)):
+        counts[i][value[part == i]] = n[part == i]
     return _links(_probes(distinct, parts, counts, distance), distance)
 
 
@@ -313,11 +345,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, distance: int = D
 
     Texts without words (null, empty) have fingerprint 0 and are linked like any. Null ids take part as bridges, and
     are a component's id only if it has no other (then null). Repeated rows stay; other columns are not read; an empty
-    table gives an empty result.
+    table gives an empty result. ``reads`` names the written tables that the result still reads.
     """
     rows = written(fingerprints(df, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = components(_links_of(df.sparkSession, distinct, distance))
+    roots = components(_links_of(distinct, distance))
     # only linked fingerprints meet by component; salts part a component that holds many of them
     salts = F.array(*[F.lit(k) for k in range(SALTS)])
     linked = roots.withColumnRenamed("node", "fp").join(distinct, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
@@ -326,4 +358,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, distance: int = D
     of_fp = distinct.join(in_group, "fp", "left").select("fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     # a table again, so both sides of the last join are dealt by it and a fingerprint of very many copies can be split
     of_fp = written(of_fp, "classes")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    dropped(distinct, roots)
+    out = rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out.reads = (rows, of_fp)
+    return out

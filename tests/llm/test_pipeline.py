@@ -4,14 +4,17 @@ import hashlib
 import os
 import re
 import shutil
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quireflow.llm import quality
-from tests.llm.test_quality_simhash_urls import base, buckets, component_of, fingerprint
+from tests.llm.test_quality_simhash_urls import base, buckets, signed
+from tests.llm.test_sharding_mixing_exact import water
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -69,23 +72,85 @@ def test_exact_stage(stages):
     assert rows(after) == rows(before[before.doc_id.isin({d for _, d in best.values()})])
 
 
+def near_copies(texts):
+    """Class of each text by brute force: shingles of five words, similar by 0.8 or more, all pairs."""
+    sets = []
+    for t in texts:
+        w = [x.translate(LOWER) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    return [find(k) for k in range(len(sets))]
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def stay_of_near(data):
+    """Rows (id, text, ...) that stay, by brute force: of a class the least id, of its texts with that id the least hash."""
+    texts = sorted({r[1] or "" for r in data})
+    of = dict(zip(texts, near_copies(texts), strict=True))
+    rank = lambda r: (r[0], signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))
+    low = {}
+    for r in data:
+        if r[0] is not None:
+            low[of[r[1] or ""]] = min(low.get(of[r[1] or ""], rank(r)), rank(r))
+    return Counter(r for r in data if r[0] is None or rank(r) == low[of[r[1] or ""]])
+
+
 def test_near_stage(stages):
+    """The rule of the stage is five words and a similarity of 0.8 (not the four bits of the query op2)."""
     before, after = stages[2]
-    fps = {r.doc_id: fingerprint(r.text) for r in before.itertuples()}
-    comp = component_of(fps)
-    low = defaultdict(lambda: 1 << 62)
-    for d, f in fps.items():
-        low[comp[f]] = min(low[comp[f]], d)
-    assert rows(after) == rows(before[before.doc_id.isin(set(low.values()))])
+    assert rows(after) == stay_of_near(list(map(tuple, before[COLUMNS].itertuples(index=False))))
+
+
+def words(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def queue(data):
+    """Times that each (id, text, source) is served, by brute force: one queue in order of virtual finish time."""
+    size, copies = Counter(), Counter((r[0], r[1] or "", r[3]) for r in data)
+    for (_, t, s), n in copies.items():
+        size[s] += n * words(t)
+    targets, names = water(size), sorted(size, key=lambda s: (s is None, s or ""))
+    servings = []
+    for k, s in enumerate(names):
+        at = 0
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        for draw, key in sorted((md5(f"mix:{'null' if c[0] is None else c[0]}:{md5(c[1])}"), c) for c in copies if c[2] == s):
+            n = copies[key] * words(key[1])
+            at += n
+            servings += [((e * size[s] + at) / targets[s], k, e, at, n, key) for e in range(3) if n]
+    used, times = 0, Counter()
+    for *_, n, key in sorted(servings, key=lambda x: x[:4]):
+        used += n
+        if used > sum(size.values()):
+            break
+        times[key] += 1
+    return times
 
 
 def test_mixing_stage(stages):
     before, after = stages[3]
-    times, size = Counter(after.doc_id), {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in before.itertuples()}
-    assert set(times) <= set(size) and max(times.values()) <= 3
-    budget, largest = sum(size.values()), max(size.values())
-    assert budget - largest <= sum(size[d] * n for d, n in times.items()) <= budget
-    assert set(rows(after)) <= set(rows(before))
+    data = list(map(tuple, before[COLUMNS].itertuples(index=False)))
+    times = queue(data)
+    want = Counter()
+    for r in data:
+        want[r] += times[(r[0], r[1], r[3])]
+    assert rows(after) == +want
+    largest = max(map(words, before.text))
+    assert sum(map(words, before.text)) - largest <= sum(map(words, after.text)) <= sum(map(words, before.text))
 
 
 def test_encoding_stage(stages):
@@ -112,3 +177,46 @@ def test_run_and_odd_rows(spark, odd, empty, tmp_path):
         assert stage(spark, empty.select(COLUMNS), folder).collect() == []
         kept = stage(spark, odd, folder)
         assert kept.columns == odd.columns and kept.count() <= 3 * odd.count()
+
+
+def test_null_and_repeated_ids_in_every_stage(spark):
+    """Each stage's rows, counted, against brute force; names that clash with the stages' own, or have dots, come through."""
+    text = lambda k, n: " ".join(f"w{(k * 37 + j * j) % 911}" for j in range(n))
+    near = text(1, 90).split()
+    near[45] = "other"
+    data = [(None, text(1, 90)), (None, text(2, 70)), (None, text(2, 70)), (5, text(3, 80)), (5, text(4, 60)), (5, text(4, 60)), (5, " ".join(near)), (6, text(5, 55)), (6, text(5, 55) + " "),
+            (7, None), (7, ""), (None, None), (8, text(6, 3000)), (9, text(7, 20)), (None, " ".join(near)), (10, text(3, 80))]
+    rows_in = [(d, t, None if k % 3 else "en", (None, "a", "b", "c")[k % 4], k) for k, (d, t) in enumerate(data)]
+    rows_in += rows_in[3:6]
+    names = ["_quality", "_digest", "mix_key", "mix_turn", "near_node", "near_low", "kept", "times", "size", "a.b", "node", "text_sha256", "turn", "skey", "draw", "last", "target"]
+    df = spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = df.select("*", *[F.lit(str(k)).alias(n) for k, n in enumerate(names)])
+    counted = lambda out: Counter(tuple(r)[:5] for r in out.collect())
+
+    def out(stage):
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns
+        return counted(got)
+
+    kept = out(corpus_pipeline.quality_rules)
+    judged = {k for k in rows_in if (k in kept)}
+    assert kept == Counter(r for r in rows_in if r in judged) and all(not base(r[1])[-1] for r in judged)
+
+    best = {}
+    for r in rows_in:
+        key, rank = re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        best.setdefault(key, set()).add((rank, r))
+    exact = out(corpus_pipeline.exact_dedup)
+    assert sum(exact.values()) == len(best)
+    for group in best.values():
+        top = min(rank for rank, _ in group)
+        assert sum(exact[r] for rank, r in group if rank == top) == 1
+
+    assert out(corpus_pipeline.simhash_dedup) == stay_of_near(rows_in)
+
+    times, want = queue(rows_in), Counter()
+    for r in rows_in:
+        want[r] += times[(r[0], r[1] or "", r[3])]
+    assert out(corpus_pipeline.mix_sources) == +want
+
+    assert Counter(r.doc_id for r in corpus_pipeline.encode(spark, wide, SF).collect()) == Counter(r[0] for r in rows_in)

@@ -122,8 +122,14 @@ def test_simhash(which, request):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
-def test_dense_and_chained_fingerprints(spark):
-    """A chain, a dense cloud around one value, and strangers: same components as brute force."""
+@pytest.mark.parametrize("layout", ["four parts", "three parts", "blocks"])
+def test_dense_and_chained_fingerprints(spark, layout, monkeypatch):
+    """A chain, a dense cloud around one value, and strangers: same components as brute force, in both layouts and with buckets parted."""
+    if layout == "three parts":
+        monkeypatch.setattr(simhash, "MANY", 1)
+    if layout == "blocks":
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", 100)
+    n_cloud = 400 if layout == "three parts" else 1500
     rng = np.random.default_rng(5)
     one = np.uint64(1)
     chain, x = [], np.uint64(rng.integers(1 << 63))
@@ -133,14 +139,14 @@ def test_dense_and_chained_fingerprints(spark):
             x ^= one << np.uint64(b)
     centre = np.uint64(rng.integers(1 << 63))
     cloud = []
-    for _ in range(1500):
+    for _ in range(n_cloud):
         y = centre
         for b in rng.choice(64, 3, replace=False):
             y ^= one << np.uint64(b)
         cloud.append(y)
-    fps = sorted({int(v) for v in [*chain, *cloud, *rng.integers(1 << 63, size=2000, dtype=np.int64)]})
+    fps = sorted({int(v) for v in [*chain, *cloud, *rng.integers(1 << 63, size=500 if layout == "three parts" else 2000, dtype=np.int64)]})
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    roots = {r.node % (1 << 64): r.root for r in simhash.components(simhash._links_of(spark, df, 4)).collect()}
+    roots = {r.node % (1 << 64): r.root for r in simhash.components(simhash._links_of(df, 4)).collect()}
     want = component_of(dict(enumerate(fps)))
     groups, mine = defaultdict(set), defaultdict(set)
     for f in fps:

@@ -132,3 +132,38 @@ def test_empty(empty):
     assert sharding.shard_documents(empty, "doc_id", "text").collect() == []
     assert mixing.mix(empty, "doc_id", "text", "source").collect() == []
     assert exact.exact_dedup(empty, "doc_id", "text").collect() == []
+
+
+def test_table_spreads_below_the_recursion(tmp_path):
+    """Buckets of every depth take about the same time: what the recursion has sorted by still spreads over the slots."""
+    import random
+
+    rng, most = random.Random(1), 0
+    for depth in (0, 3, 8, 14):
+        table, h = exact.OpenTable(), {rng.getrandbits(64) >> 4 * depth << 4 * depth | 5 for _ in range(4000)}
+        for k in h:
+            table.add((k, b"", b"%d" % k, 1, 1, 1, None))
+        runs, run = [], 0
+        for s in table.slots:
+            run = run + 1 if s >= 0 else 0
+            runs.append(run)
+        most = max(most, *runs)
+    assert most < 200
+    records = [(rng.getrandbits(64), b"d", b"%d" % k, 1, 3, k, None) for k in range(3000)]
+    assert sorted(r[2] for r in exact.grouped(records, str(tmp_path), 0, 2000)) == sorted(r[2] for r in records)
+
+
+def test_any_id_type(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (None, "c")], "doc_id long, text string")
+    for kind in ("decimal(12,2)", "string", "int", "date", "timestamp", "binary"):
+        key = F.to_date(F.from_unixtime("doc_id")) if kind == "date" else F.timestamp_seconds("doc_id") if kind == "timestamp" else F.col("doc_id").cast(kind if kind != "binary" else "string").cast(kind)
+        got = exact.exact_dedup(df.select(key.alias("doc_id"), "text"), "doc_id", "text").collect()
+        assert sorted(r.group_size for r in got) == [2, 2, 2, 2] and len({r.text_sha256 for r in got}) == 2, kind
+
+
+def test_many_equal_rows_are_dealt_gapless_slots(spark):
+    df = spark.range(150_000).selectExpr("cast(7 as long) as doc_id", "'same' as text")
+    got = sharding.shard_documents(df, "doc_id", "text").selectExpr("count(distinct slot) as n", "min(slot) as a", "max(slot) as b").first()
+    assert tuple(got) == (150_000, 0, 149_999)

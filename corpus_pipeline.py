@@ -1,57 +1,62 @@
 """The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever further ones and whatever names they have.
+
+Nulls, empty and long texts, ties and repeated rows have a defined result in every stage, which its docstring states; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quireflow.llm.common import table, written
+from quireflow.llm.common import dropped, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose n-grams are likely enough under the trusted documents."""
-    from quireflow.llm.quality import judge, trusted_ids
+    """Documents that pass the base rules and whose n-grams are likely enough under the trusted documents.
+
+    Null and empty texts have no words and go. Each row is judged by its own text: null and repeated ids, repeated rows too.
+    """
+    from quireflow.llm.quality import good_rows, trusted_ids
 
-    judged = judge(docs, trusted_ids(table(spark, sf_dir, "labels")), keep_columns=True)
-    return judged.where("kept").select(*docs.columns)
+    return good_rows(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal texts."""
+    """One row of each group of equal texts, white space apart: that of most code points, then of the smallest id, null last.
+
+    Null texts are empty texts. Of rows equal in these, repeated ones say, any one stays.
+    """
     from quireflow.llm.exact import kept_rows
 
     return kept_rows(docs, "doc_id", "text")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose 5-word shingles are similar by 0.8 or more."""
+    """One document, that of the smallest id, of each group whose 5-word shingles are similar by 0.8 or more.
+
+    Rows of a null id stay, and link others. Rows that repeat id and text stay or go together; of equal texts with
+    different ids the smallest id stays. Texts without words (null, empty) are like each other.
+    """
     from quireflow.llm.nearsets import first_of_each
 
     return first_of_each(docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as often as it takes them: each row by its own count, null and repeated ids too."""
-    from quireflow.llm.mixing import mix
+    """Documents that the mix takes, as often as it takes them: each row by its own text, null and repeated ids too.
+
+    Rows that repeat id and text are served together, as one record; a null source is a source; rows without words go.
+    """
+    from quireflow.llm.mixing import mixed_rows
 
-    # rows of one key are numbered on both sides, as their counts may differ; they are equal in what the mix reads
-    parts = ("doc_id", "text", "source")
-    key = F.xxhash64(*parts, *(F.col(c).isNull() for c in parts))
-    mixed = mix(docs, "doc_id", "text", "source", key=key)
-    turn = Window.partitionBy("mix_key").orderBy(F.desc("taken"))
-    times = mixed.withColumn("mix_turn", F.row_number().over(turn)).where("taken > 0").select("mix_key", "mix_turn", (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
-    rest = [c for c in docs.columns if c not in parts]
-    rows = docs.withColumn("mix_key", key).withColumn("mix_turn", F.row_number().over(Window.partitionBy("mix_key").orderBy(*rest, F.lit(0))))
-    return rows.join(times, ["mix_key", "mix_turn"]).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    return mixed_rows(docs, "doc_id", "text", "source")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digests and those of the decoded text."""
+    """Token ids of each row, with their digests and those of the decoded text; a null text has none."""
     import public_tokenizers
 
     from quireflow.llm.bpe import encode_decode
@@ -73,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,12 +3,15 @@
 The field labels segments, not tokens: a candidate span has features of its whole (digits, their grouping, check sum,
 word before, ...), and a dynamic program over the tokens picks boundaries and kinds together; an entity has at most
 MAX_TOKENS tokens. Weights are fitted here by conditional likelihood on lines made by a seeded generator. An entity
-needs a digit run or a spelt-out "at", so only the stretches around those are decoded: elsewhere every path is the
-empty one. What the patterns found is clamped, and the field decides between them.
+needs a digit run, a spelt-out "at", or a value assigned to a name of a credential, so only the stretches around those are
+decoded: elsewhere every path is the empty one. What the patterns found is clamped, and the field decides between them.
+
+Beside the four kinds of the patterns the field knows ``secret``: passwords, access keys and tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -19,8 +22,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quireflow.llm.common import over_arrow, quoted
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the patterns, and those of the field.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 Span = tuple[str, int, int]
 
 # ---------------------------------------------------------------- patterns
@@ -80,6 +88,13 @@ _STRETCH = re.compile(
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20{0,2}[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20{0,2}[A-Za-z0-9-]{1,63}(?:(?:\.|\x20{0,2}[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20{0,2})[A-Za-z0-9-]{1,63}){1,5}")
 #: A colon-separated hex group is one token, as its digits and letters are no entity's boundary.
 _TOKEN = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}(?=:)|(?<=:)[0-9A-Fa-f]{1,4}(?![0-9A-Za-z])|[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
+#: A run that holds a digit; the look-behind and the possessive parts let every run be tried once. Then a value behind a credential's name.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z_+/=-]*+[0-9][A-Za-z0-9_+/=-]*+")
+_NAMED = re.compile(r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?([^\s\"',;]{6,128})")
+_NAME_BEFORE = re.compile(r"(?i)(passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?$")
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|pk_|xox[abp]-|AIza|eyJ|glpat-")
+#: Pieces of a run without blanks: letters and digits of a secret are no boundary.
+_PIECE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
 #: Tokens of an entity, and digit groups of one that is neither spelt out nor colon-separated: a full IPv6 address has 15
 #: tokens, 00 and 15 digits in pairs after a code of one digit have 9 groups and 17 tokens with single separators, up to
@@ -95,6 +110,20 @@ def features(text: str, start: int, end: int) -> list[str]:
     s = text[start:end]
     digits = "".join(_SHAPE.findall(s))
     n = len(digits)
+    if len(s) >= 6 and (letters := sum(c.isalpha() for c in s)) and ":" not in s:
+        lower, upper = any(c.islower() for c in s), any(c.isupper() for c in s)
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
+        hexes = all(c in "0123456789abcdefABCDEF" for c in s)
+        named = bool(_NAME_BEFORE.search(text[max(0, start - 32) : start]))
+        mixed = "hex" if hexes else f"{'a' * lower}{'A' * upper}{'1' * (n > 0)}"
+        out = ["bias", f"run {mixed} {'named' if named else 'bare'}", f"run {min(len(s) // 4, 12)}", f"changes {min(8 * changes // len(s), 5)}", f"letters {min(8 * letters // len(s), 7)}"]
+        out += ["named"] * named + ["prefix " + ("named" if named else "bare")] * bool(_PREFIX.match(s)) + ["slashes"] * (s.count("/") > 1) + ["dashes"] * (s.count("-") > 1)
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_+/=-@."):
+            out.append("joined left")
+        if end < len(text) and (text[end].isalnum() or text[end] in "_+/=-@"):
+            out.append("joined right")
+        if not re.search(r"(?i)[(\[{]\x20?at\x20?[)\]}]", s):
+            return out
     shape = _SHAPE.sub(lambda m: str(len(m[0])), s)
     out = ["bias", f"n{n if n < 20 else 20}"]
     if s.isascii() and not any(c.isalpha() for c in s):
@@ -131,12 +160,18 @@ def stretches(text: str) -> list[tuple[int, int]]:
     low_at = "at)" in text or "at]" in text or "at}" in text or "AT" in text or "at )" in text or "at ]" in text or "at }" in text
     if low_at:
         found += [m.span() for m in _SPELT.finditer(text)]
-    return sorted(found)
+    if _DIGIT.search(text):
+        found += [m.span() for m in _RUN.finditer(text) if m.end() - m.start() >= 8 and any(c.isalpha() for c in m[0])]
+    if "=" in text or ":" in text:
+        found += [m.span(1) for m in _NAMED.finditer(text)]
+    return sorted(set(found))
 
 
 def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, list[str]]]]]:
     """Tokens of a stretch, and for each token the candidate spans that begin with it: (tokens, features)."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    whole = text[start:end]
+    secret = not any(c in whole for c in " \t\n([{:") and any(c.isalpha() for c in whole)
+    tokens = [m.span() for m in (_PIECE if secret else _TOKEN).finditer(text, start, end)]
     spelt = any(text[a:b] in ("at", "AT") for a, b in tokens)
     numbers = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in tokens]
     out: list[list[tuple[int, list[str]]]] = []
@@ -146,13 +181,16 @@ def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], li
             for j in range(i, min(len(tokens), i + MAX_TOKENS)):
                 n, groups = n + numbers[j], groups + (numbers[j] > 0)
                 b = tokens[j][1]
-                if not (text[b - 1].isalnum() or text[b - 1] == ":"):
+                if not (text[b - 1].isalnum() or text[b - 1] == ":" or (secret and text[b - 1] == "=")):
                     continue
-                if n > 32:
+                if n > 32 and not secret:
                     break
+                if secret and b - a >= 6:
+                    mine.append((j - i + 1, features(text, a, b)))
+                    continue
                 if (7 <= n <= 19 and groups <= MAX_GROUPS) or (spelt and any(text[x:y] in ("at", "AT") for x, y in tokens[i : j + 1])) or text.count(":", a, b) >= 2:
                     mine.append((j - i + 1, features(text, a, b)))
-            if spelt and i == 0 and len(tokens) > MAX_TOKENS:
+            if (spelt or secret) and i == 0 and len(tokens) > MAX_TOKENS:
                 mine.append((len(tokens), features(text, a, tokens[-1][1])))
         out.append(mine)
     return tokens, out
@@ -233,7 +271,7 @@ def _made(rng: random.Random) -> tuple[str, list[Span]]:
     """A line with at most one entity among things that look like one."""
     word = lambda: "".join(rng.choice(["th", "er", "an", "in", "ou", "ion", "es", "ch"]) for _ in range(rng.randint(1, 4)))
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    kind = rng.choice([*KINDS, *["none"] * 5])
+    kind = rng.choice([*BASE_KINDS, *["none"] * 5])
     cue = ""
     if kind == "phone":
         area, a, b = rng.choice("23456789") + num(2), num(3), num(4)
@@ -280,6 +318,35 @@ def _made_abroad(rng: random.Random) -> tuple[str, list[Span]]:
     return f"{head}{body}{rng.choice(['', '.', ',', ' ther'])} ining", [("phone", len(head), len(head) + len(body))]
 
 
+def _made_secret(rng: random.Random) -> tuple[str, list[Span]]:
+    """A line with a credential, or with a run that looks like one: an id, a path, a word with a number, a check sum."""
+    of = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    hexes, upper, lower = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"
+    every = lower + lower.upper() + "0123456789"
+    word = lambda: "".join(rng.choice(["th", "er", "an", "in", "ou", "ion", "es", "ch"]) for _ in range(rng.randint(2, 5)))
+    name = rng.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token"])
+    name = rng.choice([name, name.upper(), name.capitalize()])
+    sign = rng.choice(["=", ": ", " = ", ":", '="', ': "', " = '"])
+    close = sign[-1] if sign[-1] in "\"'" else ""
+    kind = rng.choice(["named", "named", "prefixed", "none", "none"])
+    if kind == "named":
+        body, head = rng.choice([of(hexes, rng.choice([16, 18, 24, 32, 40, 64])), of(every, rng.randint(8, 40)), word() + of("0123456789", rng.randint(1, 4)), of(every, 10) + "/" + of(every, 12) + "+" + of(every, 8) + "="]), name + sign
+    elif kind == "prefixed":
+        body, head = rng.choice(["AKIA" + of(upper, 16), "ASIA" + of(upper, 16), "ghp_" + of(every, 36), "sk-" + of(every, rng.randint(24, 48)), "AIza" + of(every, 35), "xoxb-" + of("0123456789", 12) + "-" + of(every, 24), "glpat-" + of(every, 20)]), rng.choice(["", "", "key ", name + sign])
+    else:
+        body = rng.choice([
+            of(hexes, 40), of(hexes, 64), of(hexes, 7) + of("0123456789", 3), word() + of("0123456789", rng.randint(2, 6)), of("0123456789", 4) + word(), f"{of(hexes, 8)}-{of(hexes, 4)}-{of(hexes, 4)}-{of(hexes, 4)}-{of(hexes, 12)}",
+            f"{word()}/{word()}/{of('0123456789', 4)}/{word()}", f"{word()}-{word()}-{of('0123456789', 3)}", f"{of(upper, 3)}-{of('0123456789', 6)}", f"{word()}_{word()}_{rng.randint(1, 99)}", f"{of('0123456789', 3)}x{of('0123456789', 4)}", word().upper() + of("0123456789", 4), of(every, 12), of(upper, 10) + of("0123456789", 4),
+        ])
+        head, close = rng.choice(["", "", "", "commit ", "id=", "sha256:", "version ", "http://ththes.example/", "see ", "no. ", "page=", "ref: "]), ""
+    lead = f"{word()} {word()} " if rng.random() < 0.8 else ""
+    if kind == "prefixed" and not head.endswith(sign):
+        close = ""
+    line = f"{lead}{head}{body}{close}{rng.choice(['', '.', ',', ' ' + word()])} {word()}"
+    at = len(lead) + len(head)
+    return line, [("secret", at, at + len(body))] if kind != "none" else []
+
+
 #: Size of the made training set, passes over it, step and decay of the fit; the penalty of adding a span at decoding.
 LINES, PASSES, RATE, DECAY, CAUTION = 1500, 6, 0.25, 1e-4, 2.0
 
@@ -294,7 +361,7 @@ def examples(seed: int, lines: int) -> Iterator[tuple[str, list[Span]]]:
 def trained() -> dict:
     """Weights by stochastic gradient ascent of the conditional log likelihood; the same in every run."""
     data, rng = [], random.Random(8)
-    lines = [x for k, line in enumerate(examples(7, LINES)) for x in ([line, _made_abroad(rng)] if k % 4 == 0 else [line])]
+    lines = [x for k, line in enumerate(examples(7, LINES)) for x in ([line, _made_abroad(rng)] if k % 4 == 0 else [line, _made_secret(rng)])]
     for line, gold in lines:
         for a, b in stretches(line):
             tokens, candidates = segments(line, a, b)
@@ -314,20 +381,27 @@ def trained() -> dict:
 
 
 def added_spans(text: str, base: list[Span], weights: dict) -> list[Span]:
-    """What the field finds outside the clamped base spans."""
+    """What the field finds outside the clamped base spans; linear in the spans but for searches of their sorted places."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
+    found: list[tuple[int, int]] = []
+    clamped: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if clamped and a < clamped[-1][1]:
+            clamped[-1][1] = max(clamped[-1][1], b)
+        else:
+            clamped.append([a, b])
+    ends = [b for _, b in clamped]
     for a, b in stretches(text):
-        if any(x < b and a < y for x, y in taken):
-            # decode between the clamped spans
-            pieces, at = [], a
-            for x, y in taken:
-                if x < b and at < y:
-                    pieces.append((at, min(x, b)))
-                    at = max(at, y)
+        # decode between the clamped spans
+        pieces, at = [], a
+        for x, y in clamped[bisect.bisect_right(ends, a) :]:
+            if x >= b:
+                break
+            if at < x:
+                pieces.append((at, x))
+            at = max(at, y)
+        if at < b:
             pieces.append((at, b))
-        else:
-            pieces = [(a, b)]
         for x, y in pieces:
             if y - x < 6:
                 continue
@@ -335,7 +409,9 @@ def added_spans(text: str, base: list[Span], weights: dict) -> list[Span]:
             if any(candidates):
                 for i, j, kind in viterbi(candidates, weights):
                     s, e = tokens[i][0], tokens[j - 1][1]
-                    if all(e <= p or q <= s for _, p, q in out):
+                    k = bisect.bisect_left(found, (s, e))
+                    if (k == 0 or found[k - 1][1] <= s) and (k == len(found) or e <= found[k][0]):
+                        found.insert(k, (s, e))
                         out.append((KINDS[kind], s, e))
     return out
 
@@ -347,28 +423,34 @@ def joined(spans: list[Span]) -> str:
 def personal_data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, counts and SHA-256 of the pattern spans, and all spans (``kind:start:end`` in code points, end exclusive).
 
-    The counts are those of the patterns. Null texts count as empty (no spans); repeated rows and null ids stay; other
-    columns are not read; an empty table gives an empty result. Nothing is shuffled.
+    n_email to n_phone are the patterns' counts, n_added counts the field's spans, n_spans all. Null texts count as empty (no
+    spans); repeated rows and null ids stay; other columns are not read; an empty table gives an empty result. Nothing is
+    shuffled.
+
+    The field scores no candidate beyond these bounds: MAX_TOKENS tokens (a longer run or spelt-out address only as a whole),
+    MAX_GROUPS groups and 7 to 19 digits of a number, at least six characters, 128 of a named value that has no digit, 64 of
+    a spelt-out local part, 63 of a label and six labels. The patterns have no bounds.
     """
     weights = trained()
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {k: [] for k in KINDS}
-            digests, spans, extra = [], [], []
+            counts: dict[str, list[int]] = {k: [] for k in BASE_KINDS}
+            digests, spans, extra, every = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 more = added_spans(text, base, weights)
-                for k in KINDS:
+                for k in BASE_KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(base + more))
                 extra.append(len(more))
+                every.append(len(base) + len(more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(extra, pa.int64())],
-                [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(extra, pa.int64()), pa.array(every, pa.int64())],
+                [id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added", "n_spans"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return over_arrow(df.select(F.col(quoted(id_col)), F.col(quoted(text_col))), run, schema)

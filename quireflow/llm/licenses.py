@@ -1,7 +1,8 @@
 """License scan: winnowed fingerprints of license texts in an inverted index pick candidates, banded alignment of the
 word sequences measures how much of a license a stretch of text holds, and where.
 
-The index is built from the templates alone, so its size is fixed. Every word trigram of a document is looked up, so a
+The index is built from the templates alone, so its size is theirs: the built-in ones below, or those of a table, such as
+whole license bodies. Every word trigram of a document is looked up, so a
 template's fingerprint that the document shares is always seen; only trigrams of template words can match, which numpy
 tells without hashing the rest of the text. Nothing is shuffled.
 """
@@ -16,9 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quireflow.llm.common import over_arrow, quoted
 
 #: Words of a fingerprint, fingerprints of a winnowing window, cells to either side of the diagonal.
 GRAM, WINDOW, BAND = 3, 3, 12
+#: Templates of fewer words are indexed by every trigram: a changed word in a short line could hit its only fingerprint.
+SHORT = 12
 #: Matched share of a template from which a stretch is reported.
 COVERAGE = 0.8
 WORD = re.compile("[a-z0-9]+")
@@ -31,6 +37,16 @@ TEMPLATES = {
     "BSD-3-Clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
     "Apache-2.0": """Licensed under the Apache License, Version {2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "GPL-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU {Lesser} General Public License as published by the Free Software Foundation; either version {2.1} of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0-notice": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU {Lesser} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {Affero} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "BSD-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "CC0-1.0": """To the extent possible under law, the person who associated {CC0} with this work has waived all copyright and related or neighboring rights to this work.""",
+    "CC-BY-4.0-notice": """This work is licensed under the Creative Commons {Attribution} {4.0} International License. To view a copy of this license, visit http://creativecommons.org/licenses/{by}/{4.0}/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "MIT:line": "Released under the {MIT} License.",
     "MIT:licensed": "Licensed under the {MIT} License.",
@@ -89,7 +105,7 @@ class Index:
         for t, ids in enumerate(self.words):
             keys = self.keys(ids)
             mixed = [int(k) * 0x9E3779B97F4A7C15 % (1 << 64) for k in keys]
-            for p in winnowed(mixed):
+            for p in winnowed(mixed) if len(ids) >= SHORT else range(len(keys)):
                 postings[int(keys[p])].append((t, p))
         self.postings = dict(postings)
         self.known = np.array(sorted(postings), np.int64)
@@ -151,10 +167,10 @@ def matches(ids: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[t
         places.sort()
         k, band = 0, min(BAND, max(1, len(words) // 3))  # copies one after another are at least a template apart
         while k < len(places):
-            first = places[k][0]
-            chain = [p for p in places[k : k + (band + 1) * len(words)] if p[0] - first <= band]
-            k += len(chain)
-            diagonal = chain[len(chain) // 2][0]
+            first = k
+            while k < len(places) and places[k][0] - places[first][0] <= band:
+                k += 1
+            diagonal = places[(first + k) // 2][0]
             pairs = aligned(words, ids, diagonal, band)
             if len(pairs) >= coverage * len(words) and needed <= {i for i, _ in pairs}:
                 found.append((t, len(pairs), pairs[0][1], pairs[-1][1] + 1))
@@ -186,16 +202,30 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple
     return [(index.names[t], n, n / len(index.words[t]), places[a][0], places[b - 1][1]) for t, n, a, b in found]
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, coverage: float = COVERAGE) -> DataFrame:
+#: Bytes that a table of templates may have: it is read to the driver and sent to the workers.
+MOST_BYTES = 64 << 20
+
+
+def scan(df: DataFrame, id_col: str, text_col: str, coverage: float = COVERAGE, templates: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, n_matches, licenses (names, comma-joined, in order of place), best_coverage, spans (``license:start:end:matched``).
 
+    templates: a table (name, text) in place of the built-in ones, of MOST_BYTES at most, else an error is raised.
     Null and empty texts have no matches (0, "", 0.0, ""); repeated rows and null ids stay; other columns are not read;
     an empty table gives an empty result.
     """
     schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, n_matches int, licenses string, best_coverage double, spans string"
 
+    given = None
+    if templates is not None:
+        name, body = (F.col(quoted(c)) for c in templates.columns[:2])
+        rows = templates.select(name, body).where(body.isNotNull())
+        size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
+        if size > MOST_BYTES:
+            raise ValueError(f"templates of {size} bytes are beyond {MOST_BYTES}")
+        given = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows.orderBy(name).collect()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = default_index()
+        index = default_index() if given is None else Index(given.value)
         for batch in batches:
             found = [scan_text(t.as_py() or "", index, coverage) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -207,4 +237,4 @@ def scan(df: DataFrame, id_col: str, text_col: str, coverage: float = COVERAGE)
                 ["doc_id", "n_matches", "licenses", "best_coverage", "spans"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return over_arrow(df.select(F.col(quoted(id_col)), F.col(quoted(text_col))), run, schema)

@@ -6,6 +6,8 @@ against brute force.
 
 from __future__ import annotations
 
+from quireflow.llm.reputation import LIFT, SUFFIXES
+
 OP3_URL_REPUTATION = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -24,7 +26,7 @@ WITH cut AS (
 ), two AS (
   SELECT *, regexp_extract(name, '([^.]*\.[^.]*)$', 1) AS last2 FROM named
 ), flagged AS (
-  SELECT *, last2 IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'com.cn', 'example.com', 'example.net', 'example.org') AS long FROM two
+  SELECT *, last2 IN (@suffixes) AS long FROM two
 ), hosts AS (
   SELECT host, n, k, CASE WHEN long THEN last2 ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix,
          coalesce(nullif(CASE WHEN long THEN regexp_extract(name, '([^.]*\.[^.]*\.[^.]*)$', 1) ELSE last2 END, ''), name) AS domain
@@ -66,10 +68,10 @@ WITH cut AS (
   FROM rows_ r JOIN bounded b ON r.host = b.host
 )
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 5e-1 THEN 'block' ELSE 'allow' END AS verdict,
-       labelled, bad, round(rate, 6) AS rate, round(bound, 6) AS bound
-FROM ruled
-"""
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > lim THEN 'block' ELSE 'allow' END AS verdict,
+       labelled, bad, round(rate, 6) AS rate, round(bound, 6) AS bound, round(lim, 6) AS "limit"
+FROM ruled, (SELECT @lift * rate / (1 + (@lift - 1) * rate) AS lim FROM overall)
+""".replace("@suffixes", ", ".join(f"'{x}'" for x in SUFFIXES)).replace("@lift", f"{LIFT}e0")
 
 OP6_FAIR_MIXING = r"""
 WITH docs AS (

@@ -136,19 +136,66 @@ def test_changed_licenses_and_relatives():
     assert [f[0] for f in twice] == ["MIT:line"] * 3
 
 
+def longest(a, b, diagonal=0, band=10**9):
+    """Longest common subsequence by brute force, of matches within a band around a diagonal."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            same = a[i] == b[j] and abs(j - i - diagonal) <= band
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + same)
+    return best[-1][-1]
+
+
 def test_alignment_is_longest():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 14)
-        lcs = np.zeros((13, 15), int)
-        for i in range(12):
-            for j in range(14):
-                lcs[i + 1, j + 1] = lcs[i, j] + 1 if a[i] == b[j] else max(lcs[i, j + 1], lcs[i + 1, j])
-        pairs = licenses.aligned(a, b, 0)
-        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-        assert len(pairs) <= lcs[-1, -1] and len(pairs) >= lcs[-1, -1] - 1
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(3, 16)), rng.integers(0, 4, rng.integers(3, 30))
+        diagonal, band = int(rng.integers(-3, 12)), int(rng.integers(1, 13))
+        pairs = licenses.aligned(a, b, diagonal, band)
+        assert all(a[i] == b[j] and abs(j - i - diagonal) <= band for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) == longest(a, b, diagonal, band)
+
+
+def test_spans_and_coverage_of_changed_templates():
+    """A changed template among foreign words: matched words, coverage and span against the longest common subsequence."""
+    import random
+
+    rng, index = random.Random(4), licenses.default_index()
+    for name, text in licenses.TEMPLATES.items():
+        words, needed = licenses.tokenised(text)
+        for _ in range(4):
+            out = []
+            for k, w in enumerate(words):
+                if k in needed or rng.random() > 0.08:
+                    out.append(w)
+                elif rng.random() < 0.5:
+                    out.append("zzq")
+                if rng.random() < 0.03:
+                    out.append("zzx")
+            before, after = ["zza"] * rng.randint(0, 40), ["zzb"] * rng.randint(0, 40)
+            doc, most = " ".join(before + out + after), longest(words, out)
+            found = licenses.scan_text(doc, index)
+            if most < licenses.COVERAGE * len(words):
+                assert name not in [f[0] for f in found]
+                continue
+            same = [f for f in found if f[0] == name]
+            if not same:  # a relative that matches more words took the place, or no run of three words is left
+                assert (found and max(f[1] for f in found) >= most) or len(words) < licenses.SHORT
+                continue
+            (_, n, share, a, b), = same
+            assert n == most and share == most / len(words)
+            first, last = next(w for w in out if not w.startswith("zz")), next(w for w in reversed(out) if not w.startswith("zz"))
+            assert doc[a:b].split()[0] == first and doc[a:b].split()[-1] == last and not {"zza", "zzb"} & set(doc[a:b].split())
+
+
+def test_templates_from_a_table(spark):
+    body = " ".join(f"clause{k} of the {'own' if k % 3 else 'house'} license" for k in range(400))
+    table = spark.createDataFrame([("Own-1.0", body), ("Line", "use it as {Bob} says"), ("None", None)], "name string, text string")
+    docs = spark.createDataFrame([(1, f"foo {body} bar"), (2, "please use it as Bob says now"), (3, "use it as Eve says"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.best_coverage, r.spans) for r in licenses.scan(docs, "doc_id", "text", templates=table).collect()}
+    assert got == {1: ("Own-1.0", 1.0, f"Own-1.0:4:{4 + len(body)}:2000"), 2: ("Line", 1.0, "Line:7:25:5"), 3: ("", 0.0, ""), 4: ("", 0.0, "")}
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -156,12 +203,17 @@ def test_scan_finds_every_notice(which, request):
     df = request.getfixturevalue(which)
     notice = re.compile(r"(?i)this work is licensed under the gnu general public license, version 3|licensed under cc by-nc 4\.0|released under the mit license|licensed under the apache license, version 2\.0")
     texts = {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()}
+    places = {d: [m.span() for m in notice.finditer(t or "")] for d, t in texts}
     got = licenses.scan(df, "doc_id", "text").collect()
     assert len(got) == df.count()
     by = {r.doc_id: r.n_matches for r in got}
     for d, t in texts:
         if d is not None:
             assert by[d] == len(notice.findall(t or ""))
+    for r in got:
+        spans = [tuple(map(int, s.rsplit(":", 3)[1:3])) for s in filter(None, r.spans.split(","))]
+        assert r.doc_id is None or spans == places[r.doc_id]
+        assert r.best_coverage == (1.0 if spans else 0.0)
 
 
 def test_empty(empty):

@@ -34,11 +34,26 @@ def indexed(col: str | Column, share: float, least: int = 0) -> Column:
     return F.when((F.size(s) >= max(least, 1)), _at(s, F.floor(F.lit(share) * F.size(s)))).otherwise(F.lit(0))
 
 
+def with_upper_median(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """df with the upper median of its group on every row: two windows on the group's own partitioning, no join with an aggregate of df."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumns({"_rank": F.row_number().over(w.orderBy(col)), "_n": F.count("*").over(w)})
+    return ranked.withColumn(out, F.max(F.when(F.expr("_rank = _n div 2 + 1"), F.col(col))).over(w)).drop("_rank", "_n")
+
+
+def jitter(wobble: Column, connected: Column | None = None) -> Column:
+    """Variation of replacement handwriting for a measured wobble (fixed values: slopes .055 and .1, bounds .15 and .85), to hundredths."""
+    slope = F.lit(0.055) if connected is None else F.when(connected, 0.1).otherwise(0.055)
+    return js_round(F.greatest(F.lit(0.15), F.least(F.lit(0.85), wobble / slope)) * 100) / 100
+
+
 def ranked_upper_median(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """(keys, out): the upper median of groups of any size, by rank instead of an array in memory."""
+    """(keys, out): the upper median of groups of any size. Values are counted before the shuffle, and ranks run over the distinct ones."""
     w = Window.partitionBy(*keys)
-    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias(out), F.row_number().over(w.orderBy(col)).alias("_rank"), F.count("*").over(w).alias("_n"))
-    return rows.where("_rank = _n div 2 + 1").drop("_rank", "_n")
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias(out)).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(w.orderBy(out).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
+    return rows.where("_upto > _n div 2").groupBy(*keys).agg(F.min(out).alias(out))
 
 
 def weight_model(df: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -49,14 +64,15 @@ def weight_model(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     the split must explain 60 % of the squares. low and high leave a band of 12 % of the difference unclassified.
     """
     w = Window.partitionBy(*keys)
-    good = df.where(F.col(col) > 0).select(*keys, F.col(col).cast("double").alias("v"))
-    med = ranked_upper_median(good, keys, "v", "med")
-    near = good.join(med, keys).where("v <= med * 2.5 and v >= med / 2.5")
+    good = df.where(F.col(col) > 0).groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
     upto = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = near.select(
-        *keys, "v", F.row_number().over(w.orderBy("v")).alias("n_lo"), F.sum("v").over(upto).alias("s_lo"), F.count("*").over(w).alias("n"),
-        F.sum("v").over(w).alias("s"), F.sum(F.col("v") * F.col("v")).over(w).alias("ss"), F.lead("v").over(w.orderBy("v")).alias("after"),
-    )
+    whole = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = good.withColumns({"n_upto": F.sum("c").over(upto), "n_all": F.sum("c").over(w)})
+    near = counted.withColumn("med", F.min(F.when(F.expr("n_upto > n_all div 2"), F.col("v"))).over(w)).where("v <= med * 2.5 and v >= med / 2.5")
+    # the squared difference over nLo * nHi is convex along equal values, so the best split lies between different ones;
+    # sums run in order of value, each value once, so they don't hang on the order of rows
+    sums = near.select(*keys, "v", F.sum("c").over(upto).alias("n_lo"), F.sum(F.col("v") * F.col("c")).over(upto).alias("s_lo"), F.sum(F.col("v") * F.col("v") * F.col("c")).over(upto).alias("ss_lo"), F.lead("v").over(w.orderBy("v")).alias("after"))
+    run = sums.select("*", *[F.last(a).over(whole).alias(b) for a, b in (("n_lo", "n"), ("s_lo", "s"), ("ss_lo", "ss"))])
     least = F.greatest(F.lit(3), F.floor(0.04 * F.col("n") + 0.5))
     m_lo, m_hi = F.col("s_lo") / F.col("n_lo"), (F.col("s") - F.col("s_lo")) / (F.col("n") - F.col("n_lo"))
     splits = run.where("n >= 6 and n_lo < n").withColumn("m_lo", m_lo).withColumn("m_hi", m_hi)

@@ -76,21 +76,69 @@ def neighbour_limits(runs: DataFrame) -> DataFrame:
     return runs.select("doc_id", "line_no", "run_no", F.when(left <= F.col("x0"), left).alias("left_limit"), F.when(right >= F.col("x1"), right).alias("right_limit"))
 
 
-def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each row of left the row of right on its page with the nearest centre, the first on ties. Squares are of twice the distance, so they are whole.
+#: Rows of an element's neighbourhood, in order of height on the page, that are looked at first.
+NEAR = 64
 
-    The best of each page's rows is kept by an aggregate, so pairs are never held; pages bound them.
+
+def nearest(elements: DataFrame, asks: str, offers: str, nearer: str | None = None) -> DataFrame:
+    """For each row that asks the row that offers on its page with the nearest centre, the first (line, run) on ties.
+
+    asks, offers: conditions on elements; nearer: a condition on those that offer whose distance counts .8 (0.64 squared).
+    Squares are of twice the distance. A page's rows are sorted by height once; from a row's place the search goes
+    outwards until the height alone is farther than the best, so a page isn't compared pair by pair.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = elements.select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("run_no").cast("long").alias("run_no"), (F.col("x0") + F.col("x1")).cast("double").alias("cx"), (F.col("y0") + F.col("y1")).cast("double").alias("cy"),
+        F.coalesce(F.expr(asks), F.lit(False)).alias("asks"), F.coalesce(F.expr(offers), F.lit(False)).alias("offers"), (F.when(F.expr(nearer), 0.64).otherwise(1.0) if nearer else F.lit(1.0)).alias("weight"),
+    ).where("asks or offers")
+
+    def page(t: pa.Table) -> pa.Table:
+        doc, line, run, cx, cy, ask, offer, weight = (t.column(k).to_numpy() for k in range(8))
+        at = np.flatnonzero(offer)
+        at = at[np.lexsort((run[at], line[at], cy[at]))]
+        y, out = cy[at], []
+        for i in np.flatnonzero(ask) if len(at) else ():
+            low = high = int(np.searchsorted(y, cy[i]))
+            best, step = (np.inf, 0, 0), NEAR
+            while True:
+                first, last = max(0, low - step), min(len(at), high + step)
+                for some in (at[first:low], at[high:last]):
+                    if len(some):
+                        d = ((cx[some] - cx[i]) ** 2 + (cy[some] - cy[i]) ** 2) * weight[some]
+                        least = some[d == d.min()]
+                        best = min(best, min((d.min(), line[k], run[k]) for k in least))
+                low, high, step = first, last, 2 * step
+                floor = min(cy[i] - y[low - 1] if low else np.inf, y[high] - cy[i] if high < len(at) else np.inf)
+                if floor == np.inf or 0.64 * floor * floor > best[0]:
+                    break
+            out.append((doc[i], line[i], run[i], best[1], best[2], best[0]))
+        names = ["doc_id", "line_no", "run_no", "near_line", "near_run", "distance"]
+        kinds = [pa.int64()] * 5 + [pa.float64()]
+        return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    return rows.groupBy("doc_id").applyInArrow(page, "doc_id long, line_no long, run_no long, near_line long, near_run long, distance double")
+
+
+def nearest_interval(layers: DataFrame, asks: str, offers: str) -> DataFrame:
+    """For each row that asks the row that offers on its line that is nearest in x (0 where they overlap), the first on ties.
+
+    Rows that offer don't overlap each other, so only the last that begins at or before a row and the first that begins
+    after it can be nearest: two windows over the line instead of a join of its rows.
     """
-    r = right.select("doc_id", F.col("line_no").alias("near_line"), F.col("run_no").alias("near_run"), (F.col("x0") + F.col("x1")).alias("rx"), (F.col("y0") + F.col("y1")).alias("ry"))
-    dx, dy = F.col("x0") + F.col("x1") - F.col("rx"), F.col("y0") + F.col("y1") - F.col("ry")
-    met = left.join(r, "doc_id").select("doc_id", "line_no", "run_no", "near_line", "near_run", (dx * dx + dy * dy).alias("distance"))
-    best = met.groupBy("doc_id", "line_no", "run_no").agg(F.min(F.struct("distance", "near_line", "near_run")).alias("b"))
-    return best.select("doc_id", "line_no", "run_no", "b.near_line", "b.near_run", "b.distance")
-
-
-def nearest_interval(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each row of left the row of right on its line that is nearest in x (0 where they overlap), the first on ties."""
-    r = right.select("doc_id", "line_no", F.col("word_no").alias("host"), F.col("x").alias("rx"), F.col("width").alias("rw"))
-    distance: Column = F.greatest(F.lit(0), F.col("rx") - (F.col("x") + F.col("width")), F.col("x") - (F.col("rx") + F.col("rw")))
-    met = left.join(r, ["doc_id", "line_no"]).groupBy("doc_id", "line_no", "word_no").agg(F.min(F.struct(distance.alias("distance"), "host")).alias("b"))
-    return met.select("doc_id", "line_no", "word_no", "b.host", "b.distance")
+    host = F.when(F.expr(offers), F.struct("x", "width", F.col("word_no").alias("host")))
+    line = Window.partitionBy("doc_id", "line_no").orderBy("x", F.expr(offers).desc())
+    rows = layers.where(f"({asks}) or ({offers})")
+    found = rows.withColumns({
+        "before": F.last(host, True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "after": F.first(host, True).over(line.rowsBetween(1, Window.unboundedFollowing)),
+    }).where(asks)
+
+    def near(h: str) -> Column:
+        d = F.greatest(F.lit(0), F.col(f"{h}.x") - (F.col("x") + F.col("width")), F.col("x") - (F.col(f"{h}.x") + F.col(f"{h}.width")))
+        return F.when(F.col(h).isNotNull(), F.struct(d.alias("distance"), F.col(f"{h}.host").alias("host")))
+
+    best = F.when(F.col("before").isNull(), near("after")).when(F.col("after").isNull(), near("before")).otherwise(F.least(near("before"), near("after")))
+    return found.withColumn("b", best).where("b is not null").select("doc_id", "line_no", "word_no", "b.host", "b.distance")

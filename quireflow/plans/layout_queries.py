@@ -44,10 +44,9 @@ def runs_topk_lowconf(spark, sf_dir):
 
 
 def plausible_word_counts(spark, sf_dir):
-    words = page_words(spark, sf_dir)
-    med = words.groupBy("doc_id").agg(stats.upper_median("height").alias("med"))
+    words = stats.with_upper_median(page_words(spark, sf_dir), ["doc_id"], "height", "med")
     keep = layout.plausible(F.col("text"), F.col("width"), F.col("height"), F.col("confidence"), F.col("med"))
-    return words.join(med, "doc_id").groupBy("doc_id").agg(
+    return words.groupBy("doc_id").agg(
         F.count("*").alias("n_words"), F.count_if(keep).alias("n_plausible"), F.count_if(F.col("text").rlike(layout.PUNCTUATION_ONLY)).alias("n_punctuation"), F.count_if(F.col("text").rlike(layout.RULE_LIKE)).alias("n_rule_like")
     )
 
@@ -163,13 +162,12 @@ def neighbour_limits(spark, sf_dir):
 
 
 def nearest_element(spark, sf_dir):
-    r = _runs(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "run_no", "x0", "x1", "y0", "y1", "confidence")
-    return spatial.nearest(r.where("confidence < 15"), r.where("confidence >= 50"))
+    return spatial.nearest(_runs(spark, sf_dir), "confidence < 15", "confidence >= 50", nearer="n_words >= 5")
 
 
 def nearest_interval(spark, sf_dir):
-    left, right = _strata(spark, sf_dir)
-    return spatial.nearest_interval(right, left).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("word_no").cast("long").alias("word_no"), F.col("host").cast("long").alias("host"), "distance")
+    w = page_words(spark, sf_dir).withColumn("x", F.when(F.col("confidence") < 30, F.col("x") + 45).otherwise(F.col("x")))
+    return spatial.nearest_interval(w, "confidence < 30", "confidence >= 60").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("word_no").cast("long").alias("word_no"), F.col("host").cast("long").alias("host"), "distance")
 
 
 def _reread(spark, sf_dir):
@@ -207,10 +205,10 @@ def hist_otsu_threshold(spark, sf_dir):
 
 
 def mad_wobble(spark, sf_dir):
-    w = page_words(spark, sf_dir).withColumn("base", F.col("y") + F.col("height"))
-    med = w.groupBy("doc_id", "line_no").agg(stats.upper_median("base").alias("med"))
-    dev = w.join(med, ["doc_id", "line_no"]).groupBy("doc_id", "line_no").agg(F.count("*").alias("n"), stats.upper_median(F.abs(F.col("base") - F.col("med"))).alias("mad"), F.max("height").alias("h"))
-    return dev.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.when(F.col("n") < 3, 0.0).otherwise(F.round(F.col("mad") / F.col("h"), 9)).alias("wobble"))
+    w = stats.with_upper_median(page_words(spark, sf_dir).withColumn("base", F.col("y") + F.col("height")), ["doc_id", "line_no"], "base", "med")
+    dev = w.groupBy("doc_id", "line_no").agg(F.count("*").alias("n"), stats.upper_median(F.abs(F.col("base") - F.col("med"))).alias("mad"), F.max("height").alias("h"))
+    wobble = F.when(F.col("n") < 3, 0.0).otherwise(F.col("mad") / F.col("h"))
+    return dev.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(wobble, 9).alias("wobble"), stats.jitter(wobble).alias("jitter"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -250,7 +248,7 @@ ORACLES = {
     "neighbour_limits": f"""{_RUNS} SELECT a.doc_id, a.line_no, a.run_no, max(b.x1) FILTER (WHERE b.x1 <= a.x0) AS left_limit, min(b.x0) FILTER (WHERE b.x0 >= a.x1) AS right_limit
       FROM runs a JOIN runs b ON a.doc_id = b.doc_id AND a.line_no = b.line_no GROUP BY ALL""",
     "nearest_element": f"""{_RUNS}, a AS (SELECT * FROM runs WHERE confidence < 15), b AS (SELECT * FROM runs WHERE confidence >= 50),
-      d AS (SELECT a.doc_id, a.line_no, a.run_no, b.line_no AS near_line, b.run_no AS near_run, (a.x0 + a.x1 - b.x0 - b.x1) * (a.x0 + a.x1 - b.x0 - b.x1) + (a.y0 + a.y1 - b.y0 - b.y1) * (a.y0 + a.y1 - b.y0 - b.y1) AS distance FROM a JOIN b USING (doc_id))
+      d AS (SELECT a.doc_id, a.line_no, a.run_no, b.line_no AS near_line, b.run_no AS near_run, ((a.x0 + a.x1 - b.x0 - b.x1) * (a.x0 + a.x1 - b.x0 - b.x1) + (a.y0 + a.y1 - b.y0 - b.y1) * (a.y0 + a.y1 - b.y0 - b.y1))::DOUBLE * CASE WHEN b.n_words >= 5 THEN 0.64::DOUBLE ELSE 1.0::DOUBLE END AS distance FROM a JOIN b USING (doc_id))
       SELECT doc_id, line_no, run_no, near_line, near_run, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, run_no ORDER BY distance, near_line, near_run) AS k FROM d) WHERE k = 1""",
     "nearest_interval": f"""{_STRATA}, d AS (SELECT m.doc_id, m.line_no, m.word_no, p.word_no AS host, greatest(0, p.x - (m.x + m.width), m.x - (p.x + p.width)) AS distance FROM marks m JOIN print p USING (doc_id, line_no))
       SELECT doc_id, line_no, word_no, host, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, word_no ORDER BY distance, host) AS k FROM d) WHERE k = 1""",
@@ -276,6 +274,7 @@ ORACLES = {
       b AS (SELECT l_returnflag, bin, n_b::DOUBLE * (n - n_b)::DOUBLE * power(s_b::DOUBLE / n_b::DOUBLE - (s - s_b)::DOUBLE / (n - n_b)::DOUBLE, 2) AS v FROM r WHERE n_b < n)
       SELECT l_returnflag, bin AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY v DESC, bin) AS k FROM b) WHERE k = 1""",
     "mad_wobble": f"""WITH {WORDS_SQL}, b AS (SELECT *, y + height AS base FROM words), m AS (SELECT doc_id, line_no, {_MED.format('base')} AS med FROM b GROUP BY ALL),
-      d AS (SELECT doc_id, line_no, abs(base - med) AS dev, height FROM b JOIN m USING (doc_id, line_no))
-      SELECT doc_id, line_no, CASE WHEN count(*) < 3 THEN 0.0::DOUBLE ELSE round({_MED.format('dev')} / max(height)::DOUBLE, 9) END AS wobble FROM d GROUP BY doc_id, line_no""",
+      d AS (SELECT doc_id, line_no, abs(base - med) AS dev, height FROM b JOIN m USING (doc_id, line_no)),
+      w AS (SELECT doc_id, line_no, CASE WHEN count(*) < 3 THEN 0.0::DOUBLE ELSE {_MED.format('dev')} / max(height)::DOUBLE END AS wobble FROM d GROUP BY doc_id, line_no)
+      SELECT doc_id, line_no, round(wobble, 9) AS wobble, floor(greatest(0.15::DOUBLE, least(0.85::DOUBLE, wobble / 0.055::DOUBLE)) * 100 + 0.5) / 100 AS jitter FROM w""",
 }

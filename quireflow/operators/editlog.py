@@ -15,7 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_HISTORY = 200
-Document = dict[str, dict]
+#: Element id -> element; ids are unique across the pages of a document, and an element names its page.
+Elements = dict[str, dict]
+
+
+class Document(dict):
+    """The elements of all pages by id, with the pages' own fields (status, size, ...) by page id."""
+
+    def __init__(self, elements: Elements | None = None, pages: dict[str, dict] | None = None):
+        super().__init__(elements or {})
+        self.pages = {"p0": {"status": "ready"}} if pages is None else pages
+
+    @staticmethod
+    def of(doc: Elements) -> Document:
+        return doc if isinstance(doc, Document) else Document(doc)
+
+    def having(self, elements: Elements) -> Document:
+        return Document({**self, **elements}, self.pages)
 
 
 class UnknownTarget(ValueError):
@@ -23,70 +39,114 @@ class UnknownTarget(ValueError):
 
 
 def element(source: str, **more) -> dict:
-    return {"source": source, "text": source, "state": "original", "alignment": "left", "locked": False, "styles": {}, "style_from": None, "typography": None, "origin": "scan", "x": 0.0, "y": 0.0} | more
+    return {
+        "source": source, "text": source, "state": "original", "alignment": "left", "locked": False, "styles": {}, "style_from": None, "typography": None, "origin": "scan", "page": "p0",
+        "x": 0.0, "y": 0.0, "box": {"cx": 0.0, "cy": 0.0},
+    } | more
 
 
 def _edited(e: dict, text: str) -> str:
     return "original" if text == e["source"] and not e["styles"] else "edited"
 
 
-def apply_command(doc: Document, cmd: dict) -> Document:
+def _text(e: dict, cmd: dict) -> dict:
+    return e | {"text": cmd["text"], "state": _edited(e, cmd["text"])}
+
+
+def _source(e: dict, cmd: dict) -> dict:
+    """What was recognised is corrected: styles that were measured on the wrong glyphs go."""
+    new = e | {"source": cmd["text"], "typography": None, "text": cmd["text"] if e["state"] == "original" else e["text"]}
+    return new | {"state": "deleted" if e["state"] == "deleted" else _edited(new, new["text"])}
+
+
+def _styled(e: dict, cmd: dict) -> dict:
+    merging = cmd["type"] == "applyStyle"
+    styles = (e["styles"] if merging else {}) | (cmd.get("styles") or {})
+    # a style that is set to nothing goes back to what was detected
+    styles = {k: v for k, v in styles.items() if v is not None}
+    given = cmd.get("source_id") if merging else None
+    new = e | {"styles": styles, "style_from": given or (e["style_from"] if styles else None)}
+    if e["state"] == "deleted":
+        return new
+    return new | {"state": "edited" if merging and e["origin"] == "added" else _edited(new, e["text"])}
+
+
+def _moved(e: dict, cmd: dict) -> dict:
+    """The box, the bounding box and the frame of a measured style move together."""
+    if e["origin"] != "added":
+        raise UnknownTarget("only added boxes move")
+    shifted = lambda b: b | {"cx": b["cx"] + cmd["dx"], "cy": b["cy"] + cmd["dy"]}
+    t = e["typography"]
+    frame = {"typography": t | {"frame": shifted(t["frame"])}} if t and t.get("frame") else {}
+    return e | {"x": e["x"] + cmd["dx"], "y": e["y"] + cmd["dy"], "box": shifted(e["box"])} | frame
+
+
+def _measured(e: dict, cmd: dict) -> dict:
+    t = cmd.get("typography")
+    return e | {"typography": t, "alignment": t["alignment"] if t and not e["locked"] else e["alignment"]}
+
+
+#: Commands that change one element.
+ON_ELEMENT = {
+    "setText": _text, "setSourceText": _source, "setStyleOverrides": _styled, "applyStyle": _styled, "moveElement": _moved, "setTypography": _measured,
+    "deleteElement": lambda e, cmd: e | {"state": "deleted"}, "restoreElement": lambda e, cmd: e | {"state": _edited(e, e["text"])},
+    "setAlignment": lambda e, cmd: e | {"alignment": cmd["alignment"], "locked": True},
+}
+
+
+def find_element(doc: Elements, element_id: str) -> tuple[str, dict]:
+    """(page, element) of an id, whichever page it is on."""
+    if element_id not in doc:
+        raise UnknownTarget(f"no element {element_id}")
+    return doc[element_id]["page"], doc[element_id]
+
+
+def _page_of(doc: Document, cmd: dict) -> str:
+    page = cmd.get("page_id") or "p0"
+    if page not in doc.pages:
+        raise UnknownTarget(f"no page {page}")
+    return page
+
+
+def apply_command(doc: Elements, cmd: dict) -> Document:
     """The document after a command. ``doc`` is never changed; an unknown target raises."""
-    kind, target = cmd["type"], cmd.get("element_id")
+    doc, kind = Document.of(doc), cmd["type"]
+    if kind in ON_ELEMENT:
+        _, e = find_element(doc, cmd.get("element_id"))
+        return doc.having({cmd["element_id"]: ON_ELEMENT[kind](e, cmd)})
     if kind == "addElement":
-        return doc | {cmd["element_id"]: element(cmd.get("text", ""), state="edited", origin="added", x=cmd.get("x", 0.0), y=cmd.get("y", 0.0))}
+        x, y = cmd.get("x", 0.0), cmd.get("y", 0.0)
+        added = element(cmd.get("text", ""), state="edited", origin="added", page=_page_of(doc, cmd), x=x, y=y, box={"cx": x, "cy": y})
+        return doc.having({cmd["element_id"]: added})
     if kind == "updatePage":
-        if cmd.get("page_id") not in (None, "p0"):
-            raise UnknownTarget(f"no page {cmd['page_id']}")
-        return cmd["elements"]
+        page = _page_of(doc, cmd)
+        patch = dict(cmd.get("patch") or {})
+        elements = patch.pop("elements", None)
+        kept = doc if elements is None else {k: e for k, e in doc.items() if e["page"] != page} | {k: element("", page=page) | e for k, e in elements.items()}
+        return Document(dict(kept), doc.pages | {page: doc.pages[page] | patch})
     if kind == "readHandwriting":
-        out = dict(doc)
+        out = Document(dict(doc), doc.pages)
         for g in cmd["groups"]:
             ids = g["element_ids"]
-            if all(i in doc and doc[i]["state"] == "original" for i in ids) and ids and g.get("accepted", True):
-                out[ids[0]] = element(g["text"], origin="handwriting")
+            if ids and all(i in doc and doc[i]["state"] == "original" for i in ids) and g.get("accepted", True):
+                out[ids[0]] = element(g["text"], origin="handwriting", page=doc[ids[0]]["page"])
                 for i in ids[1:]:
                     out.pop(i, None)
         return out
-    if target not in doc:
-        raise UnknownTarget(f"no element {target}")
-    e = doc[target]
-    if kind == "setText":
-        new = e | {"text": cmd["text"], "state": _edited(e, cmd["text"])}
-    elif kind == "setSourceText":
-        base = e | {"source": cmd["text"], "typography": None, "text": cmd["text"] if e["state"] == "original" else e["text"]}
-        new = base | {"state": "deleted" if e["state"] == "deleted" else _edited(base, base["text"])}
-    elif kind == "deleteElement":
-        new = e | {"state": "deleted"}
-    elif kind == "restoreElement":
-        new = e | {"state": _edited(e, e["text"])}
-    elif kind == "setAlignment":
-        new = e | {"alignment": cmd["alignment"], "locked": True}
-    elif kind in ("setStyleOverrides", "applyStyle"):
-        styles = dict(e["styles"]) if kind == "applyStyle" else {}
-        styles.update(cmd.get("styles") or {})
-        # a style that is set to nothing goes back to what was detected
-        styles = {k: v for k, v in styles.items() if v is not None}
-        base = e | {"styles": styles, "style_from": cmd.get("source_id") if cmd.get("source_id") and kind == "applyStyle" else e["style_from"] if styles else None}
-        state = "deleted" if e["state"] == "deleted" else "edited" if e["origin"] == "added" and kind == "applyStyle" else _edited(base, e["text"])
-        new = base | {"state": state}
-    elif kind == "moveElement":
-        if e["origin"] != "added":
-            raise UnknownTarget("only added boxes move")
-        new = e | {"x": e["x"] + cmd["dx"], "y": e["y"] + cmd["dy"]}
-    elif kind == "setTypography":
-        t = cmd.get("typography")
-        new = e | {"typography": t, "alignment": t["alignment"] if t and not e["locked"] else e["alignment"]}
-    else:
-        raise ValueError(f"no command {kind}")
-    return doc | {target: new}
+    raise ValueError(f"no command {kind}")
+
+
+def touched_element(cmd: dict) -> str | None:
+    """The element whose look a command changes; none for processing output of a page."""
+    return None if cmd["type"] in ("updatePage", "setTypography", "readHandwriting") else cmd.get("element_id")
 
 
 class History:
     """Present, past and future of one document."""
 
-    def __init__(self, present: Document, past: list[Document] | None = None, future: list[Document] | None = None):
-        self.present, self.past, self.future, self.failed = present, past or [], future or [], 0
+    def __init__(self, present: Elements, past: list[Document] | None = None, future: list[Document] | None = None):
+        self.present, self.past, self.future = Document.of(present), past or [], future or []
+        self.failed, self.error = 0, None
 
     def execute(self, cmd: dict) -> None:
         after = apply_command(self.present, cmd)
@@ -99,7 +159,7 @@ class History:
         def tried(doc: Document) -> Document:
             try:
                 return apply_command(doc, cmd)
-            except ValueError:
+            except (ValueError, KeyError, TypeError):
                 return doc
 
         self.present, self.past, self.future = tried(self.present), [tried(d) for d in self.past], [tried(d) for d in self.future]
@@ -114,26 +174,39 @@ class History:
             self.past.append(self.present)
             self.present = self.future.pop(0)
 
-    def feed(self, kind: str, cmd: dict) -> None:
-        """One row of a log; user commands that fail are counted and change nothing."""
+    def feed(self, kind: str, payload: str | None) -> None:
+        """One row of a log. Commands that fail or can't be read are counted, change nothing, and the last one's error is kept."""
         if kind == "undo":
             self.undo()
         elif kind == "redo":
             self.redo()
-        elif kind == "system":
-            self.replace_present(cmd)
         else:
             try:
-                self.execute(cmd)
-            except ValueError:
-                self.failed += 1
+                cmd = json.loads(payload or "null")
+                if not isinstance(cmd, dict) or "type" not in cmd:
+                    raise ValueError("no command")
+                self.replace_present(cmd) if kind == "system" else self.execute(cmd)
+            except (ValueError, KeyError, TypeError) as e:
+                self.failed, self.error = self.failed + 1, f"{type(e).__name__}: {e}"
 
+    def saved(self) -> str:
+        plain = lambda d: [dict(d), d.pages]
+        return json.dumps({"present": plain(self.present), "past": [plain(d) for d in self.past], "future": [plain(d) for d in self.future], "failed": self.failed, "error": self.error})
 
-FOLDED = "doc_id long, element_id string, text string, state string, alignment string, n_past int, n_future int, n_failed int"
+    @staticmethod
+    def loaded(text: str) -> History:
+        s = json.loads(text)
+        h = History(Document(*s["present"]), [Document(*d) for d in s["past"]], [Document(*d) for d in s["future"]])
+        h.failed, h.error = s["failed"], s["error"]
+        return h
+
+
+FOLDED = "doc_id long, element_id string, source string, text string, state string, alignment string, styled boolean, x double, modified boolean, n_past long, n_future long, n_failed long, last_error string"
 
 
 def _rows(doc_id: int, h: History) -> list[tuple]:
-    return [(doc_id, k, e["text"], e["state"], e["alignment"], len(h.past), len(h.future), h.failed) for k, e in sorted(h.present.items())]
+    changed = lambda e: e["state"] == "deleted" or e["text"] != e["source"] or bool(e["styles"])
+    return [(doc_id, k, e["source"], e["text"], e["state"], e["alignment"], bool(e["styles"]), float(e["x"]), changed(e), len(h.past), len(h.future), h.failed, h.error) for k, e in sorted(h.present.items())]
 
 
 def initial(n: int = 5) -> Document:
@@ -149,7 +222,7 @@ def fold(log: DataFrame, elements: int = 5) -> DataFrame:
     def of(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h = History(initial(elements))
         for kind, payload in pdf.sort_values("seq")[["kind", "payload"]].itertuples(index=False):
-            h.feed(kind, json.loads(payload))
+            h.feed(kind, payload)
         return pd.DataFrame(_rows(key[0], h), columns=[c.split()[0] for c in FOLDED.split(", ")])
 
     return log.groupBy("doc_id").applyInPandas(of, FOLDED)
@@ -163,30 +236,39 @@ def fold_stream(log: DataFrame, elements: int = 5) -> DataFrame:
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def of(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            saved = json.loads(state.get[0])
-            h = History(saved["present"], saved["past"], saved["future"])
-            h.failed = saved["failed"]
-        else:
-            h = History(initial(elements))
+        h = History.loaded(state.get[0]) if state.exists else History(initial(elements))
         rows = [r for b in batches for r in b[["seq", "kind", "payload"]].itertuples(index=False)]
         for _, kind, payload in sorted(rows):
-            h.feed(kind, json.loads(payload))
-        state.update((json.dumps({"present": h.present, "past": h.past, "future": h.future, "failed": h.failed}),))
+            h.feed(kind, payload)
+        state.update((h.saved(),))
         yield pd.DataFrame(_rows(key[0], h), columns=[c.split()[0] for c in FOLDED.split(", ")])
 
     return log.groupBy("doc_id").applyInPandasWithState(of, FOLDED, "history string", "update", GroupStateTimeout.NoTimeout)
 
 
 def from_events(events: DataFrame, elements: int = 5) -> DataFrame:
-    """An edit log from user events: error undoes, signup redoes, view deletes or restores, click and purchase set texts."""
-    target = F.concat(F.lit("p0-e"), F.col("event_id") % elements)
-    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("user")
-    view = F.when(F.col("event_id") % 2 == 0, "deleteElement").otherwise("restoreElement")
-    cmd = F.struct(F.when(F.col("event_type") == "view", view).otherwise("setText").alias("type"), target.alias("element_id"), F.concat(F.lit("text "), F.col("event_id") % 3).alias("text"))
-    return events.select(F.col("user_id").alias("doc_id"), F.struct("ts", "event_id").alias("order"), kind.alias("kind"), F.to_json(cmd).alias("payload")).select(
-        "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("order")).alias("seq"), "kind", "payload"
-    )
+    """An edit log from user events: error undoes, signup redoes, the others are commands of all kinds by their id; two in eleven are processing output."""
+    n = F.col("event_id")
+    turn = n % 11
+    steps = F.col("event_type").isin("error", "signup")
+    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").when(turn < 2, "system").otherwise("user")
+    view = F.element_at(F.array(*[F.lit(c) for c in ("deleteElement", "restoreElement", "setAlignment", "moveElement")]), (n % 4 + 1).cast("int"))
+    bought = F.element_at(F.array(*[F.lit(c) for c in ("setText", "applyStyle", "applyStyle", "setStyleOverrides")]), (n % 4 + 1).cast("int"))
+    type_ = (
+        F.when(turn == 0, "setSourceText").when(turn == 1, "setTypography").when(F.col("event_type") == "view", view).when(F.col("event_type") == "purchase", bought)
+        .when(n % 5 == 0, "addElement").when(n % 13 == 12, "updatePage").when(n % 17 == 16, "noCommand").otherwise("setText")
+    )
+    added = F.col("type").isin("addElement", "moveElement") | (n % 7 == 6)
+    target = F.when(added, F.concat(F.lit("p0-a"), n % 3)).otherwise(F.concat(F.lit("p0-e"), n % elements))
+    text = F.when((F.col("type") == "setText") & (n % 3 == 0), F.concat(F.lit("source "), n % elements)).otherwise(F.concat(F.lit("text "), n % 3))
+    style = F.when(F.col("type").isin("applyStyle", "setStyleOverrides"), F.when(n % 4 == 2, F.lit('{"weight":null}')).otherwise(F.lit('{"weight":700}')))
+    named = lambda name, v: F.concat(F.lit(f',"{name}":'), v)
+    payload = F.concat(
+        F.lit('{"type":"'), "type", F.lit('"'), named("element_id", F.concat(F.lit('"'), target, F.lit('"'))), named("text", F.concat(F.lit('"'), text, F.lit('"'))), F.coalesce(named("styles", style), F.lit("")),
+        F.lit(',"alignment":"right","typography":{"alignment":"center"},"dx":1,"dy":2,"page_id":"'), F.when((F.col("type") == "updatePage") & (n % 2 == 0), "p9").otherwise("p0"), F.lit('","patch":{"status":"ready"}}'),
+    )
+    rows = events.select(F.col("user_id").alias("doc_id"), F.struct("ts", "event_id").alias("order"), "event_id", kind.alias("kind"), F.when(~steps, type_).alias("type"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("order")).alias("seq"), "kind", payload.alias("payload"))
 
 
 def last_texts(log_rows: DataFrame) -> DataFrame:

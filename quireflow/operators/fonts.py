@@ -68,9 +68,9 @@ def fallback_rows(spark) -> DataFrame:
     rows = []
     for category in ("sans", "serif", "mono", "condensed", "handwriting"):
         for script, ids in dims.FALLBACKS.items():
-            rows += [(script, None, category, k, ids.split()[i]) for k, i in enumerate(order.get(category, (0, 1)))]
+            rows += [(script, None, category, k, ids[i]) for k, i in enumerate(order.get(category, (0, 1)))]
         for region, ids in dims.REGION_FALLBACKS.items():
-            rows += [("han", region, category, k, ids.split()[i]) for k, i in enumerate(order.get(category, (0, 1)))]
+            rows += [("han", region, category, k, ids[i]) for k, i in enumerate(order.get(category, (0, 1)))]
     return spark.createDataFrame(rows, "script string, for_region string, category string, place int, font_id string")
 
 

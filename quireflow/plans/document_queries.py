@@ -19,10 +19,42 @@ def edit_log_fold(spark, sf_dir):
 
 def undo_redo_depth(spark, sf_dir):
     folded = editlog.fold(editlog.from_events(read(spark, sf_dir, "events")))
-    return folded.groupBy("doc_id").agg(F.max("n_past").cast("long").alias("n_past"), F.max("n_future").cast("long").alias("n_future"))
-
-
-_LOG = """WITH log AS (SELECT user_id AS doc_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
+    return folded.groupBy("doc_id").agg(F.max("n_past").alias("n_past"), F.max("n_future").alias("n_future"))
+
+
+_LOG = """WITH RECURSIVE named AS (SELECT user_id AS doc_id, event_id AS n, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+  CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE CASE WHEN event_id % 11 < 2 THEN 'system' ELSE 'user' END END AS kind,
+  CASE WHEN event_id % 11 = 0 THEN 'setSourceText' WHEN event_id % 11 = 1 THEN 'setTypography' WHEN event_type = 'view' THEN ['deleteElement', 'restoreElement', 'setAlignment', 'moveElement'][event_id % 4 + 1]
+    WHEN event_type = 'purchase' THEN ['setText', 'applyStyle', 'applyStyle', 'setStyleOverrides'][event_id % 4 + 1] WHEN event_id % 5 = 0 THEN 'addElement' WHEN event_id % 13 = 12 THEN 'updatePage' WHEN event_id % 17 = 16 THEN 'noCommand' ELSE 'setText' END AS type FROM events),
+log AS (SELECT *, CASE WHEN type IN ('addElement', 'moveElement') OR n % 7 = 6 THEN 'p0-a' || n % 3 ELSE 'p0-e' || n % 5 END AS target, CASE WHEN type = 'setText' AND n % 3 = 0 THEN 'source ' || n % 5 ELSE 'text ' || n % 3 END AS said FROM named)"""
+_CHANGED = """CASE WHEN e.id <> target OR type = 'updatePage' THEN e WHEN type = 'addElement' THEN struct_pack(id := e.id, here := true, source := said, text := said, state := 'edited', alignment := 'left', locked := false, styled := false, x := 0.0::DOUBLE)
+  WHEN NOT e.here THEN e ELSE struct_pack(id := e.id, here := true, source := CASE WHEN type = 'setSourceText' THEN said ELSE e.source END,
+    text := CASE WHEN type = 'setText' OR (type = 'setSourceText' AND e.state = 'original') THEN said ELSE e.text END,
+    state := CASE WHEN type = 'deleteElement' THEN 'deleted' WHEN type = 'setText' THEN CASE WHEN said = e.source AND NOT e.styled THEN 'original' ELSE 'edited' END
+      WHEN type = 'restoreElement' THEN CASE WHEN e.text = e.source AND NOT e.styled THEN 'original' ELSE 'edited' END
+      WHEN type = 'setSourceText' AND e.state <> 'deleted' THEN CASE WHEN (e.state = 'original' OR e.text = said) AND NOT e.styled THEN 'original' ELSE 'edited' END
+      WHEN type = 'applyStyle' AND e.state <> 'deleted' AND starts_with(e.id, 'p0-a') THEN 'edited'
+      WHEN type IN ('applyStyle', 'setStyleOverrides') AND e.state <> 'deleted' THEN CASE WHEN e.text = e.source AND n % 4 = 2 THEN 'original' ELSE 'edited' END ELSE e.state END,
+    alignment := CASE WHEN type = 'setAlignment' THEN 'right' WHEN type = 'setTypography' AND NOT e.locked THEN 'center' ELSE e.alignment END, locked := e.locked OR type = 'setAlignment',
+    styled := CASE WHEN type IN ('applyStyle', 'setStyleOverrides') THEN n % 4 <> 2 ELSE e.styled END, x := CASE WHEN type = 'moveElement' THEN e.x + 1 ELSE e.x END) END"""
+def _fold_sql(select: str) -> str:
+    """The fold as a recursive query: the present, the undone and the redone documents are lists of elements."""
+    element = "STRUCT(id VARCHAR, here BOOLEAN, source VARCHAR, text VARCHAR, state VARCHAR, alignment VARCHAR, locked BOOLEAN, styled BOOLEAN, x DOUBLE)"
+    first = "list_transform(['e0', 'e1', 'e2', 'e3', 'e4', 'a0', 'a1', 'a2'], lambda i: struct_pack(id := 'p0-' || i, here := i[1] = 'e', source := 'source ' || i[2], text := 'source ' || i[2], state := CASE WHEN i[1] = 'e' THEN 'original' ELSE 'edited' END, alignment := 'left', locked := false, styled := false, x := 0.0::DOUBLE))"
+    there = "len(list_filter(now, lambda e: e.id = target AND e.here)) > 0"
+    ok = f"CASE type WHEN 'addElement' THEN true WHEN 'updatePage' THEN n % 2 = 1 WHEN 'noCommand' THEN false WHEN 'moveElement' THEN {there} AND starts_with(target, 'p0-a') ELSE {there} END"
+    after = f"list_transform(now, lambda e: {_CHANGED})"
+    every = lambda docs: f"list_transform({docs}, lambda d: list_transform(d, lambda e: {_CHANGED}))"
+    return f"""{_LOG}, f(doc_id, seq, now, past, future, failed, error) AS (
+      SELECT DISTINCT doc_id, 0::BIGINT, {first}::{element}[], []::{element}[][], []::{element}[][], 0::BIGINT, NULL::VARCHAR FROM log
+      UNION ALL SELECT doc_id, seq,
+        CASE WHEN kind = 'undo' AND len(past) > 0 THEN past[-1] WHEN kind = 'redo' AND len(future) > 0 THEN future[1] WHEN kind = 'system' OR (kind = 'user' AND ok) THEN after ELSE now END,
+        CASE WHEN kind = 'undo' THEN past[:-2] WHEN kind = 'redo' THEN CASE WHEN len(future) > 0 THEN list_append(past, now) ELSE past END WHEN kind = 'system' THEN {every('past')} WHEN ok THEN list_append(past, now)[-200:] ELSE past END,
+        CASE WHEN kind = 'undo' THEN CASE WHEN len(past) > 0 THEN list_prepend(now, future) ELSE future END WHEN kind = 'redo' THEN future[2:] WHEN kind = 'system' THEN {every('future')} WHEN ok THEN []::{element}[][] ELSE future END,
+        CASE WHEN kind = 'user' AND NOT ok THEN failed + 1 ELSE failed END,
+        CASE WHEN kind = 'user' AND NOT ok THEN CASE type WHEN 'updatePage' THEN 'UnknownTarget: no page p9' WHEN 'noCommand' THEN 'ValueError: no command noCommand' WHEN 'moveElement' THEN 'UnknownTarget: no element ' || target ELSE 'UnknownTarget: no element ' || target END ELSE error END
+      FROM (SELECT f.doc_id, log.seq, now, past, future, failed, error, kind, type, n, target, {ok} AS ok, {after} AS after, said FROM f JOIN log ON log.doc_id = f.doc_id AND log.seq = f.seq + 1)),
+    last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1) {select}"""
 
 
 def last_write_wins(spark, sf_dir):
@@ -214,18 +246,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
-    # the depth of undo and redo alone is a fold over counters: every user command of this log succeeds
-    "undo_redo_depth": """WITH RECURSIVE log AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type FROM events),
-      f(doc_id, seq, p, q) AS (SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM log UNION ALL
-        SELECT f.doc_id, log.seq, CASE event_type WHEN 'error' THEN CASE WHEN p > 0 THEN p - 1 ELSE p END WHEN 'signup' THEN CASE WHEN q > 0 THEN p + 1 ELSE p END ELSE least(p + 1, 200) END,
-          CASE event_type WHEN 'error' THEN CASE WHEN p > 0 THEN q + 1 ELSE q END WHEN 'signup' THEN CASE WHEN q > 0 THEN q - 1 ELSE q END ELSE 0 END
-        FROM f JOIN log ON log.doc_id = f.doc_id AND log.seq = f.seq + 1)
-      SELECT doc_id, arg_max(p, seq) AS n_past, arg_max(q, seq) AS n_future FROM f GROUP BY doc_id""",
+    "edit_log_fold": _fold_sql("""SELECT doc_id, e.id AS element_id, e.source, e.text, e.state, e.alignment, e.styled, e.x, e.state = 'deleted' OR e.text <> e.source OR e.styled AS modified,
+      len(past)::BIGINT AS n_past, len(future)::BIGINT AS n_future, failed AS n_failed, error AS last_error FROM (SELECT *, unnest(now) AS e FROM last) WHERE e.here"""),
+    "undo_redo_depth": _fold_sql("SELECT doc_id, len(past)::BIGINT AS n_past, len(future)::BIGINT AS n_future FROM last"),
     "last_write_wins": """SELECT user_id AS doc_id, 'p0-e' || event_id % 5 AS element_id, arg_max('text ' || event_id % 3, ts::VARCHAR || lpad(event_id::VARCHAR, 12, '0')) AS text, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL""",
     "versioned_upsert": "SELECT user_id, max(event_id) AS newest, count(*) AS n, list(event_type ORDER BY ts, event_id)[-1] AS event_type FROM events GROUP BY user_id",
     "compare_and_set": """SELECT user_id, count(*) AS n, sum(version)::BIGINT AS versions FROM (SELECT user_id, event_id % 50 AS version, event_id * 7 % 60 AS base,
       coalesce(max(event_id % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM events) WHERE base >= seen GROUP BY user_id""",
-    "capped_history": f"""{_LOG}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM log WHERE event_type NOT IN ('error', 'signup'))
+    "capped_history": f"""{_LOG}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM log WHERE kind = 'user')
       SELECT doc_id, count(*) AS n, min(seq) AS first_seq FROM u WHERE back <= 20 GROUP BY doc_id""",
     "page_status_rollup": f"""WITH s AS (SELECT o_custkey, {_STATUS} AS status FROM orders)
       SELECT o_custkey, bool_and(status IN ('ready', 'failed')) AND bool_or(status = 'ready') AS can_export, count_if(status = 'ready')::BIGINT AS n_ready, count_if(status <> 'ready')::BIGINT AS skipped FROM s GROUP BY o_custkey""",

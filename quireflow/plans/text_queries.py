@@ -29,8 +29,8 @@ def _list(items) -> str:
 
 _SAMPLES_SQL = f"samples(id, text) AS (VALUES {', '.join(f'({k}::BIGINT, {_q(t)})' for k, t in enumerate(SAMPLES))})"
 _BLOCKS = f"blocks(lo, hi, script) AS (VALUES {tx.blocks_sql()})"
-_LANG = "langs(ord, code, scripts, locales, region) AS (VALUES " + ", ".join(f"({k}, {_q(c)}, {_list(s.split())}, {_list(loc.split())}, {_q(r)})" for k, (c, _, _, s, loc, r) in enumerate(dims.LANGUAGES)) + ")"
-_CAND = "cand(key, ord, code) AS (VALUES " + ", ".join([f"({_q(k)}, {i}, {_q(c)})" for k, v in dims.SCRIPT_LANGUAGES.items() for i, c in enumerate(v.split())] + [f"('*', {i}, {_q(r[0])})" for i, r in enumerate(dims.LANGUAGES)]) + ")"
+_LANG = "langs(ord, code, scripts, locales, region) AS (VALUES " + ", ".join(f"({k}, {_q(c)}, {_list(s)}, {_list(loc)}, {_q(r)})" for k, (c, s, loc, r) in enumerate(dims.LANGUAGES)) + ")"
+_CAND = "cand(key, ord, code) AS (VALUES " + ", ".join([f"({_q(k)}, {i}, {_q(c)})" for k, v in dims.SCRIPT_LANGUAGES.items() for i, c in enumerate(v)] + [f"('*', {i}, {_q(r[0])})" for i, r in enumerate(dims.LANGUAGES)]) + ")"
 _DETECTED = "det(name, key) AS (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in sorted(dims.DETECTED.items())) + ")"
 _FONTS = "fonts(ord, id, category, scripts, region) AS (VALUES " + ", ".join(f"({o}, {_q(i)}, {_q(c)}, {_list(s)}, {_q(r)})" for o, i, c, s, r in dims.font_rows()) + ")"
 _SLICES = "slices(font_id, slice_id, lo, hi) AS (VALUES " + ", ".join(f"({_q(f)}, {_q(s)}, {a}, {b})" for f, s, a, b in dims.slice_rows()) + ")"

@@ -6,20 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.functions.text import SCRIPT_BLOCKS
 
-#: Recognition languages by rough number of speakers (fixed values): code, name, own name, scripts, locale prefixes, region of Han glyphs.
+#: Recognition languages by rough number of speakers (fixed values): code, scripts, locale prefixes, region of Han glyphs.
 LANGUAGES = (
-    ("eng", "English", "English", "latin", "en", None), ("chi_sim", "Chinese (Simplified)", "简体中文", "han", "zh zh-cn zh-sg zh-hans", "sc"), ("hin", "Hindi", "हिन्दी", "devanagari", "hi", None),
-    ("spa", "Spanish", "Español", "latin", "es", None), ("fra", "French", "Français", "latin", "fr", None), ("ara", "Arabic", "العربية", "arabic", "ar", None), ("ben", "Bengali", "বাংলা", "bengali", "bn as", None),
-    ("por", "Portuguese", "Português", "latin", "pt", None), ("rus", "Russian", "Русский", "cyrillic", "ru be kk", None), ("urd", "Urdu", "اردو", "arabic", "ur", None), ("ind", "Indonesian", "Bahasa Indonesia", "latin", "id", None),
-    ("deu", "German", "Deutsch", "latin", "de", None), ("jpn", "Japanese", "日本語", "han kana", "ja", "jp"), ("mar", "Marathi", "मराठी", "devanagari", "mr", None), ("tel", "Telugu", "తెలుగు", "telugu", "te", None),
-    ("tur", "Turkish", "Türkçe", "latin", "tr", None), ("tam", "Tamil", "தமிழ்", "tamil", "ta", None), ("vie", "Vietnamese", "Tiếng Việt", "latin", "vi", None), ("kor", "Korean", "한국어", "hangul han", "ko", "kr"),
-    ("ita", "Italian", "Italiano", "latin", "it", None), ("fas", "Persian", "فارسی", "arabic", "fa", None), ("tha", "Thai", "ไทย", "thai", "th", None), ("guj", "Gujarati", "ગુજરાતી", "gujarati", "gu", None),
-    ("pan", "Punjabi", "ਪੰਜਾਬੀ", "gurmukhi", "pa", None), ("kan", "Kannada", "ಕನ್ನಡ", "kannada", "kn", None), ("mal", "Malayalam", "മലയാളം", "malayalam", "ml", None), ("nep", "Nepali", "नेपाली", "devanagari", "ne", None),
-    ("chi_tra", "Chinese (Traditional)", "繁體中文", "han", "zh-tw zh-hk zh-mo zh-hant", "tc"), ("pol", "Polish", "Polski", "latin", "pl", None), ("ukr", "Ukrainian", "Українська", "cyrillic", "uk", None),
-    ("msa", "Malay", "Bahasa Melayu", "latin", "ms", None), ("swa", "Swahili", "Kiswahili", "latin", "sw", None), ("tgl", "Filipino", "Filipino", "latin", "fil tl", None), ("nld", "Dutch", "Nederlands", "latin", "nl", None),
-    ("ron", "Romanian", "Română", "latin", "ro", None), ("ell", "Greek", "Ελληνικά", "greek", "el", None), ("ces", "Czech", "Čeština", "latin", "cs", None), ("hun", "Hungarian", "Magyar", "latin", "hu", None),
-    ("swe", "Swedish", "Svenska", "latin", "sv", None), ("heb", "Hebrew", "עברית", "hebrew", "he iw", None),
-)
+    ("eng", ("latin",), ("en",), None),
+    ("chi_sim", ("han",), ("zh", "zh-cn", "zh-sg", "zh-hans"), "sc"),
+    ("hin", ("devanagari",), ("hi",), None),
+    ("spa", ("latin",), ("es",), None),
+    ("fra", ("latin",), ("fr",), None),
+    ("ara", ("arabic",), ("ar",), None),
+    ("ben", ("bengali",), ("bn", "as"), None),
+    ("por", ("latin",), ("pt",), None),
+    ("rus", ("cyrillic",), ("ru", "be", "kk"), None),
+    ("urd", ("arabic",), ("ur",), None),
+    ("ind", ("latin",), ("id",), None),
+    ("deu", ("latin",), ("de",), None),
+    ("jpn", ("han", "kana"), ("ja",), "jp"),
+    ("mar", ("devanagari",), ("mr",), None),
+    ("tel", ("telugu",), ("te",), None),
+    ("tur", ("latin",), ("tr",), None),
+    ("tam", ("tamil",), ("ta",), None),
+    ("vie", ("latin",), ("vi",), None),
+    ("kor", ("hangul", "han"), ("ko",), "kr"),
+    ("ita", ("latin",), ("it",), None),
+    ("fas", ("arabic",), ("fa",), None),
+    ("tha", ("thai",), ("th",), None),
+    ("guj", ("gujarati",), ("gu",), None),
+    ("pan", ("gurmukhi",), ("pa",), None),
+    ("kan", ("kannada",), ("kn",), None),
+    ("mal", ("malayalam",), ("ml",), None),
+    ("nep", ("devanagari",), ("ne",), None),
+    ("chi_tra", ("han",), ("zh-tw", "zh-hk", "zh-mo", "zh-hant"), "tc"),
+    ("pol", ("latin",), ("pl",), None),
+    ("ukr", ("cyrillic",), ("uk",), None),
+    ("msa", ("latin",), ("ms",), None),
+    ("swa", ("latin",), ("sw",), None),
+    ("tgl", ("latin",), ("fil", "tl"), None),
+    ("nld", ("latin",), ("nl",), None),
+    ("ron", ("latin",), ("ro",), None),
+    ("ell", ("greek",), ("el",), None),
+    ("ces", ("latin",), ("cs",), None),
+    ("hun", ("latin",), ("hu",), None),
+    ("swe", ("latin",), ("sv",), None),
+    ("heb", ("hebrew",), ("he", "iw"), None),
+)
 AUTO, MAX_LANGUAGES = "auto", 3
 
 #: Names that script detection reports (fixed values), and the key of their languages; most are their own key.
@@ -28,51 +57,153 @@ DETECTED = {s: s for s in ("latin", "cyrillic", "greek", "arabic", "hebrew", "de
 }
 #: Languages of a detected key, the default first (fixed values).
 SCRIPT_LANGUAGES = {
-    "latin": "eng spa fra por ind deu tur vie ita pol msa swa tgl nld ron ces hun swe", "cyrillic": "rus ukr", "greek": "ell", "arabic": "ara urd fas", "hebrew": "heb", "devanagari": "hin nep mar", "bengali": "ben",
-    "gurmukhi": "pan", "gujarati": "guj", "tamil": "tam", "telugu": "tel", "kannada": "kan", "malayalam": "mal", "thai": "tha", "han": "chi_sim chi_tra", "han-sc": "chi_sim", "han-tc": "chi_tra", "japanese": "jpn", "korean": "kor",
-}
+    "latin": ("eng", "spa", "fra", "por", "ind", "deu", "tur", "vie", "ita", "pol", "msa", "swa", "tgl", "nld", "ron", "ces", "hun", "swe"),
+    "cyrillic": ("rus", "ukr"),
+    "greek": ("ell",),
+    "arabic": ("ara", "urd", "fas"),
+    "hebrew": ("heb",),
+    "devanagari": ("hin", "nep", "mar"),
+    "bengali": ("ben",),
+    "gurmukhi": ("pan",),
+    "gujarati": ("guj",),
+    "tamil": ("tam",),
+    "telugu": ("tel",),
+    "kannada": ("kan",),
+    "malayalam": ("mal",),
+    "thai": ("tha",),
+    "han": ("chi_sim", "chi_tra"),
+    "han-sc": ("chi_sim",),
+    "han-tc": ("chi_tra",),
+    "japanese": ("jpn",),
+    "korean": ("kor",),
+}
 #: Key of the branch that takes the reader's own language.
 ANY = "*"
 #: Scripts with a headline, by the primary tag of a locale (fixed values).
 HEADLINE_LOCALES = {"ne": "devanagari", "hi": "devanagari", "mr": "devanagari", "sa": "devanagari", "bn": "bengali", "as": "bengali", "pa": "gurmukhi"}
 
-_EUROPEAN = "latin cyrillic greek hebrew"
-#: Candidate fonts (fixed values): category, scripts, ids; a region of Han glyphs follows a colon.
-FONT_GROUPS = (
-    ("sans", _EUROPEAN, "arimo"), ("serif", _EUROPEAN, "tinos"), ("mono", _EUROPEAN, "cousine"), ("sans", _EUROPEAN, "carlito roboto open-sans"), ("condensed", _EUROPEAN, "roboto-condensed"),
-    ("serif", _EUROPEAN, "noto-serif caladea gelasio"), ("sans", _EUROPEAN, "libre-franklin"), ("serif", _EUROPEAN, "eb-garamond libre-baskerville"), ("condensed", _EUROPEAN, "archivo-narrow"), ("mono", _EUROPEAN, "ibm-plex-mono"),
-    ("sans", _EUROPEAN, "inter lato montserrat source-sans-3 noto-sans pt-sans"), ("serif", _EUROPEAN, "pt-serif"),
-    ("sans", "devanagari", "noto-sans-devanagari"), ("serif", "devanagari", "noto-serif-devanagari"), ("sans", "devanagari", "mukta hind yantramanav"), ("sans", "latin devanagari", "poppins"),
-    ("serif", "devanagari", "tiro-devanagari-hindi martel laila karma"), ("condensed", "devanagari", "khand"), ("sans", "devanagari", "gotu"),
-    ("sans", "bengali", "noto-sans-bengali"), ("serif", "bengali", "noto-serif-bengali"), ("sans", "bengali", "hind-siliguri"), ("sans", "gurmukhi", "noto-sans-gurmukhi"), ("serif", "gurmukhi", "noto-serif-gurmukhi"), ("sans", "gurmukhi", "mukta-mahee"),
-    ("sans", "gujarati", "noto-sans-gujarati"), ("serif", "gujarati", "noto-serif-gujarati"), ("sans", "gujarati", "hind-vadodara"), ("sans", "tamil", "noto-sans-tamil"), ("serif", "tamil", "noto-serif-tamil"), ("sans", "tamil", "mukta-malar"),
-    ("sans", "telugu", "noto-sans-telugu"), ("serif", "telugu", "noto-serif-telugu"), ("sans", "telugu", "hind-guntur"), ("sans", "kannada", "noto-sans-kannada"), ("serif", "kannada", "noto-serif-kannada"), ("sans", "kannada", "baloo-tamma-2"),
-    ("sans", "malayalam", "noto-sans-malayalam"), ("serif", "malayalam", "noto-serif-malayalam"), ("sans", "malayalam", "manjari"),
-    ("serif", "arabic", "noto-naskh-arabic"), ("sans", "arabic", "noto-sans-arabic"), ("serif", "arabic", "amiri"), ("sans", "arabic", "cairo vazirmatn"), ("serif", "arabic", "noto-nastaliq-urdu"),
-    ("sans", "hebrew", "noto-sans-hebrew"), ("serif", "hebrew", "noto-serif-hebrew"), ("sans", "latin cyrillic hebrew", "rubik"), ("serif", "hebrew", "frank-ruhl-libre"),
-    ("sans", "thai", "noto-sans-thai"), ("serif", "thai", "noto-serif-thai"), ("sans", "thai", "sarabun kanit"),
-    ("sans", "han", "noto-sans-sc:sc"), ("serif", "han", "noto-serif-sc:sc"), ("sans", "han", "noto-sans-tc:tc"), ("sans", "han kana", "noto-sans-jp:jp"), ("serif", "han kana", "noto-serif-jp:jp"), ("sans", "hangul han", "noto-sans-kr:kr"), ("serif", "hangul han", "noto-serif-kr:kr"),
-    ("handwriting", "latin cyrillic", "caveat"), ("handwriting", "latin", "patrick-hand indie-flower reenie-beanie"), ("handwriting", "latin devanagari", "kalam"), ("handwriting", "arabic", "aref-ruqaa"), ("handwriting", "thai", "sriracha"),
-    ("handwriting", "han", "ma-shan-zheng:sc"), ("handwriting", "han kana", "klee-one:jp"), ("handwriting", "hangul", "nanum-pen-script:kr"),
-)
+#: Candidate fonts in order of preference (fixed values): id, category, scripts, region of Han glyphs.
+FONTS = (
+    ("arimo", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("tinos", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("cousine", "mono", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("carlito", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("roboto", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("open-sans", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("roboto-condensed", "condensed", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("noto-serif", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("caladea", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("gelasio", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("libre-franklin", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("eb-garamond", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("libre-baskerville", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("archivo-narrow", "condensed", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("ibm-plex-mono", "mono", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("inter", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("lato", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("montserrat", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("source-sans-3", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("noto-sans", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("pt-sans", "sans", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("pt-serif", "serif", ("latin", "cyrillic", "greek", "hebrew"), None),
+    ("noto-sans-devanagari", "sans", ("devanagari",), None),
+    ("noto-serif-devanagari", "serif", ("devanagari",), None),
+    ("mukta", "sans", ("devanagari",), None),
+    ("hind", "sans", ("devanagari",), None),
+    ("yantramanav", "sans", ("devanagari",), None),
+    ("poppins", "sans", ("latin", "devanagari"), None),
+    ("tiro-devanagari-hindi", "serif", ("devanagari",), None),
+    ("martel", "serif", ("devanagari",), None),
+    ("laila", "serif", ("devanagari",), None),
+    ("karma", "serif", ("devanagari",), None),
+    ("khand", "condensed", ("devanagari",), None),
+    ("gotu", "sans", ("devanagari",), None),
+    ("noto-sans-bengali", "sans", ("bengali",), None),
+    ("noto-serif-bengali", "serif", ("bengali",), None),
+    ("hind-siliguri", "sans", ("bengali",), None),
+    ("noto-sans-gurmukhi", "sans", ("gurmukhi",), None),
+    ("noto-serif-gurmukhi", "serif", ("gurmukhi",), None),
+    ("mukta-mahee", "sans", ("gurmukhi",), None),
+    ("noto-sans-gujarati", "sans", ("gujarati",), None),
+    ("noto-serif-gujarati", "serif", ("gujarati",), None),
+    ("hind-vadodara", "sans", ("gujarati",), None),
+    ("noto-sans-tamil", "sans", ("tamil",), None),
+    ("noto-serif-tamil", "serif", ("tamil",), None),
+    ("mukta-malar", "sans", ("tamil",), None),
+    ("noto-sans-telugu", "sans", ("telugu",), None),
+    ("noto-serif-telugu", "serif", ("telugu",), None),
+    ("hind-guntur", "sans", ("telugu",), None),
+    ("noto-sans-kannada", "sans", ("kannada",), None),
+    ("noto-serif-kannada", "serif", ("kannada",), None),
+    ("baloo-tamma-2", "sans", ("kannada",), None),
+    ("noto-sans-malayalam", "sans", ("malayalam",), None),
+    ("noto-serif-malayalam", "serif", ("malayalam",), None),
+    ("manjari", "sans", ("malayalam",), None),
+    ("noto-naskh-arabic", "serif", ("arabic",), None),
+    ("noto-sans-arabic", "sans", ("arabic",), None),
+    ("amiri", "serif", ("arabic",), None),
+    ("cairo", "sans", ("arabic",), None),
+    ("vazirmatn", "sans", ("arabic",), None),
+    ("noto-nastaliq-urdu", "serif", ("arabic",), None),
+    ("noto-sans-hebrew", "sans", ("hebrew",), None),
+    ("noto-serif-hebrew", "serif", ("hebrew",), None),
+    ("rubik", "sans", ("latin", "cyrillic", "hebrew"), None),
+    ("frank-ruhl-libre", "serif", ("hebrew",), None),
+    ("noto-sans-thai", "sans", ("thai",), None),
+    ("noto-serif-thai", "serif", ("thai",), None),
+    ("sarabun", "sans", ("thai",), None),
+    ("kanit", "sans", ("thai",), None),
+    ("noto-sans-sc", "sans", ("han",), "sc"),
+    ("noto-serif-sc", "serif", ("han",), "sc"),
+    ("noto-sans-tc", "sans", ("han",), "tc"),
+    ("noto-sans-jp", "sans", ("han", "kana"), "jp"),
+    ("noto-serif-jp", "serif", ("han", "kana"), "jp"),
+    ("noto-sans-kr", "sans", ("hangul", "han"), "kr"),
+    ("noto-serif-kr", "serif", ("hangul", "han"), "kr"),
+    ("caveat", "handwriting", ("latin", "cyrillic"), None),
+    ("patrick-hand", "handwriting", ("latin",), None),
+    ("indie-flower", "handwriting", ("latin",), None),
+    ("reenie-beanie", "handwriting", ("latin",), None),
+    ("kalam", "handwriting", ("latin", "devanagari"), None),
+    ("aref-ruqaa", "handwriting", ("arabic",), None),
+    ("sriracha", "handwriting", ("thai",), None),
+    ("ma-shan-zheng", "handwriting", ("han",), "sc"),
+    ("klee-one", "handwriting", ("han", "kana"), "jp"),
+    ("nanum-pen-script", "handwriting", ("hangul",), "kr"),
+)
 #: Glyphs that a stand-in draws unlike its models, and the font to borrow them from (fixed value).
 GLYPH_DEFAULTS = {("arimo", "1"): "roboto"}
 #: Fonts that draw what a family can't, by script (fixed values): sans, serif, handwriting.
 FALLBACKS = {
-    "latin": "noto-sans noto-serif caveat", "cyrillic": "noto-sans noto-serif caveat", "greek": "noto-sans noto-serif noto-sans", "neutral": "noto-sans noto-serif noto-sans", "devanagari": "noto-sans-devanagari noto-serif-devanagari kalam",
-    "arabic": "noto-sans-arabic noto-naskh-arabic aref-ruqaa", "hebrew": "noto-sans-hebrew noto-serif-hebrew noto-sans-hebrew", "thai": "noto-sans-thai noto-serif-thai sriracha", "han": "noto-sans-sc noto-serif-sc ma-shan-zheng",
-    "kana": "noto-sans-jp noto-serif-jp klee-one", "hangul": "noto-sans-kr noto-serif-kr nanum-pen-script",
-} | {s: f"noto-sans-{s} noto-serif-{s} noto-sans-{s}" for s in ("bengali", "gurmukhi", "gujarati", "tamil", "telugu", "kannada", "malayalam")}
-REGION_FALLBACKS = {"sc": "noto-sans-sc noto-serif-sc ma-shan-zheng", "tc": "noto-sans-tc noto-sans-tc noto-sans-tc", "jp": "noto-sans-jp noto-serif-jp klee-one", "kr": "noto-sans-kr noto-serif-kr nanum-pen-script"}
+    "latin": ("noto-sans", "noto-serif", "caveat"),
+    "cyrillic": ("noto-sans", "noto-serif", "caveat"),
+    "greek": ("noto-sans", "noto-serif", "noto-sans"),
+    "neutral": ("noto-sans", "noto-serif", "noto-sans"),
+    "devanagari": ("noto-sans-devanagari", "noto-serif-devanagari", "kalam"),
+    "arabic": ("noto-sans-arabic", "noto-naskh-arabic", "aref-ruqaa"),
+    "hebrew": ("noto-sans-hebrew", "noto-serif-hebrew", "noto-sans-hebrew"),
+    "thai": ("noto-sans-thai", "noto-serif-thai", "sriracha"),
+    "han": ("noto-sans-sc", "noto-serif-sc", "ma-shan-zheng"),
+    "kana": ("noto-sans-jp", "noto-serif-jp", "klee-one"),
+    "hangul": ("noto-sans-kr", "noto-serif-kr", "nanum-pen-script"),
+    "bengali": ("noto-sans-bengali", "noto-serif-bengali", "noto-sans-bengali"),
+    "gurmukhi": ("noto-sans-gurmukhi", "noto-serif-gurmukhi", "noto-sans-gurmukhi"),
+    "gujarati": ("noto-sans-gujarati", "noto-serif-gujarati", "noto-sans-gujarati"),
+    "tamil": ("noto-sans-tamil", "noto-serif-tamil", "noto-sans-tamil"),
+    "telugu": ("noto-sans-telugu", "noto-serif-telugu", "noto-sans-telugu"),
+    "kannada": ("noto-sans-kannada", "noto-serif-kannada", "noto-sans-kannada"),
+    "malayalam": ("noto-sans-malayalam", "noto-serif-malayalam", "noto-sans-malayalam"),
+}
+REGION_FALLBACKS = {
+    "sc": ("noto-sans-sc", "noto-serif-sc", "ma-shan-zheng"),
+    "tc": ("noto-sans-tc", "noto-sans-tc", "noto-sans-tc"),
+    "jp": ("noto-sans-jp", "noto-serif-jp", "klee-one"),
+    "kr": ("noto-sans-kr", "noto-serif-kr", "nanum-pen-script"),
+}
 
 
 def font_rows() -> list[tuple[int, str, str, list[str], str | None]]:
-    out = []
-    for category, scripts, ids in FONT_GROUPS:
-        for name in ids.split():
-            font, _, region = name.partition(":")
-            out.append((len(out), font, category, scripts.split(), region or None))
-    return out
+    return [(k, font, category, list(scripts), region) for k, (font, category, scripts, region) in enumerate(FONTS)]
 
 
 def slice_rows() -> list[tuple[str, str, int, int]]:
@@ -92,13 +223,13 @@ def slice_rows() -> list[tuple[str, str, int, int]]:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    rows = [(k, c, n, o, s.split(), loc.split(), r) for k, (c, n, o, s, loc, r) in enumerate(LANGUAGES)]
-    return spark.createDataFrame(rows, "ord int, code string, name string, own_name string, scripts array<string>, locales array<string>, region string")
+    rows = [(k, c, list(s), list(loc), r) for k, (c, s, loc, r) in enumerate(LANGUAGES)]
+    return spark.createDataFrame(rows, "ord int, code string, scripts array<string>, locales array<string>, region string")
 
 
 def candidates(spark: SparkSession) -> DataFrame:
     """(key, ord, code): languages to choose from for a detected key; ANY has all."""
-    rows = [(k, i, c) for k, v in SCRIPT_LANGUAGES.items() for i, c in enumerate(v.split())] + [(ANY, i, r[0]) for i, r in enumerate(LANGUAGES)]
+    rows = [(k, i, c) for k, v in SCRIPT_LANGUAGES.items() for i, c in enumerate(v)] + [(ANY, i, r[0]) for i, r in enumerate(LANGUAGES)]
     return spark.createDataFrame(rows, "key string, ord int, code string")
 
 

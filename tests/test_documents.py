@@ -1,6 +1,5 @@
 """Edit logs, readings, languages, fonts, files, kernels and streams."""
 
-import json
 import random
 
 import numpy as np
@@ -63,6 +62,33 @@ def test_reducer_branches():
     assert kept["a"]["text"] == "q" and kept["b"]["text"] == "y"
 
 
+def test_pages_and_patches():
+    doc = editlog.Document({"e": element("a"), "f": element("b", page="p1")}, {"p0": {"status": "pending"}, "p1": {"status": "ready"}})
+    ready = editlog.apply_command(doc, {"type": "updatePage", "page_id": "p0", "patch": {"status": "ready", "width": 100}})
+    assert ready.pages["p0"] == {"status": "ready", "width": 100} and dict(ready) == dict(doc) and doc.pages["p0"]["status"] == "pending"
+    read = editlog.apply_command(ready, {"type": "updatePage", "page_id": "p0", "patch": {"elements": {"n": {"source": "new", "text": "new"}}}})
+    assert set(read) == {"f", "n"} and editlog.find_element(read, "n")[0] == "p0" and editlog.find_element(read, "f")[0] == "p1"
+    for cmd in ({"type": "addElement", "element_id": "x", "page_id": "p7"}, {"type": "updatePage", "page_id": "p7", "patch": {}}, {"type": "nothing"}):
+        with pytest.raises(ValueError):
+            editlog.apply_command(doc, cmd)
+    assert editlog.touched_element({"type": "setText", "element_id": "e"}) == "e" and editlog.touched_element({"type": "updatePage"}) is None
+
+
+def test_moves_take_boxes_and_frames():
+    a = editlog.apply_command(start(), {"type": "addElement", "element_id": "n", "x": 1.0, "y": 2.0})
+    a = editlog.apply_command(a, {"type": "setTypography", "element_id": "n", "typography": {"alignment": "left", "frame": {"cx": 5.0, "cy": 6.0, "width": 9.0}}})
+    n = editlog.apply_command(a, {"type": "moveElement", "element_id": "n", "dx": 3, "dy": -1})["n"]
+    assert (n["x"], n["y"], n["box"], n["typography"]["frame"]) == (4.0, 1.0, {"cx": 4.0, "cy": 1.0}, {"cx": 8.0, "cy": 5.0, "width": 9.0})
+
+
+def test_rows_that_fail_are_kept_apart():
+    h = History(start())
+    for payload in ('{"type":"setText","element_id":"e","text":"x"}', '{"type":"setText"}', "no json", None, '{"element_id":"e"}', '{"type":"setText","element_id":"?","text":"y"}', '{"type":"setText","element_id":"e"}'):
+        h.feed("user", payload)
+    assert h.present["e"]["text"] == "x" and h.failed == 6 and h.error.startswith("KeyError")
+    assert History.loaded(h.saved()).saved() == h.saved()
+
+
 def test_history_is_capped():
     h = History(start())
     for k in range(editlog.MAX_HISTORY + 5):
@@ -79,7 +105,7 @@ def test_stream_folds_as_the_batch_does(spark):
     log = editlog.from_events(spark.read.parquet(f"{sf}/events.parquet")).where("doc_id = 3").orderBy("seq").collect()
     h = History(editlog.initial())
     for r in log:
-        h.feed(r.kind, json.loads(r.payload))
+        h.feed(r.kind, r.payload)
     assert {r for r in batch if r[0] == 3} == set(editlog._rows(3, h))
 
 

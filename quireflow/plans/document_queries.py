@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -188,14 +188,8 @@ def oriented_boxes(spark, sf_dir):
 # ------------------------------------------------------------------ streams over the events table
 
 
-def _drained(spark, stream, name: str, mode: str):
-    from pyspark import SparkContext  # noqa: F401  the session's own context is used
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    tag = uuid.uuid4().hex
-    return streams.drain(stream, f"{name}_{tag}", mode, f"{folder.rstrip('/')}/stream-{name}-{tag}")
+def _drained(spark, stream, name: str, mode: str, keys: list[str] | None = None):
+    return streams.drain(stream, name, mode, f"{streams.shared_folder(spark)}/stream-{uuid.uuid4().hex}", keys)
 
 
 def _event_stream(spark, sf_dir):
@@ -212,12 +206,10 @@ def session_events(spark, sf_dir):
 
 def stateful_edit_log(spark, sf_dir):
     log = editlog.from_events(read(spark, sf_dir, "events"))
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/edit-log-{uuid.uuid4().hex}"
+    folder = f"{streams.shared_folder(spark)}/edit-log-{uuid.uuid4().hex}"
     log.select("doc_id", F.col("seq").cast("long").alias("seq"), "kind", "payload").write.parquet(folder)
     stream = spark.readStream.schema("doc_id long, seq long, kind string, payload string").parquet(folder)
-    return _drained(spark, editlog.fold_stream(stream), "edits", "update")
+    return _drained(spark, editlog.fold_stream(stream), "edits", "update", ["doc_id"])
 
 
 # ------------------------------------------------------------------ supplements: what Spark adds to the model
@@ -246,6 +238,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
+    "lru_cache_sim": """WITH RECURSIVE log AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'p' || event_id * 13 % 7 AS key, event_id * 13 % 7 * 10 + 30 AS size FROM events),
+      f(doc_id, seq, raw, hit) AS (SELECT DISTINCT doc_id, 0::BIGINT, []::STRUCT(key VARCHAR, size BIGINT)[], false FROM log UNION ALL
+        SELECT doc_id, seq, CASE WHEN known THEN list_append(others, struct_pack(key := key, size := size)) ELSE list_append(others[coalesce(
+          list_filter(range(0, len(others) + 1), lambda i: coalesce(list_sum(list_transform(others[i + 1:], lambda o: o.size)), 0) + size <= 120)[1], len(others)) + 1:], struct_pack(key := key, size := size)) END, known
+        FROM (SELECT f.doc_id, log.seq, log.key, log.size, list_filter(raw, lambda r: r.key <> log.key) AS others, len(list_filter(raw, lambda r: r.key = log.key)) > 0 AS known FROM f JOIN log ON log.doc_id = f.doc_id AND log.seq = f.seq + 1))
+      SELECT doc_id, count_if(hit)::BIGINT AS hits, count(*) AS n, max(list_sum(list_transform(raw, lambda r: r.size)))::BIGINT AS most_raw FROM f WHERE seq > 0 GROUP BY doc_id""",
     "edit_log_fold": _fold_sql("""SELECT doc_id, e.id AS element_id, e.source, e.text, e.state, e.alignment, e.styled, e.x, e.state = 'deleted' OR e.text <> e.source OR e.styled AS modified,
       len(past)::BIGINT AS n_past, len(future)::BIGINT AS n_future, failed AS n_failed, error AS last_error FROM (SELECT *, unnest(now) AS e FROM last) WHERE e.here"""),
     "undo_redo_depth": _fold_sql("SELECT doc_id, len(past)::BIGINT AS n_past, len(future)::BIGINT AS n_future FROM last"),
@@ -299,3 +297,4 @@ ORACLES = {
       WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL""",
     "cube_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(floor(l_quantity)::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 }
+ORACLES["stateful_edit_log"] = ORACLES["edit_log_fold"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -62,8 +66,35 @@ def newest_rows(spark: SparkSession, path: str, keys: list[str], version: str) -
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), version).alias("r")).select("r.*")
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a stream gives for what its source holds now, as a table in memory: for tests and bounded replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Only a local master (tests) may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return "file://" + tempfile.mkdtemp(prefix="quireflow-")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """All that a stream gives for what its source holds now, as a Parquet table beside the checkpoint.
+
+    Each micro-batch is written by the executors under its number, so one that is run again replaces its own output. Of
+    complete results the last batch counts, of updates the last batch of each key, of appends all batches.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    if mode == "complete":
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+    if mode == "update":
+        return rows.withColumn("last", F.max("batch").over(Window.partitionBy(*keys))).where("batch = last").drop("batch", "last")
+    return rows.drop("batch")

@@ -181,13 +181,21 @@ def _jpeg(w, h, n=3):
 
 
 def test_pdf_writer(spark):
-    pdf = files.image_pdf([(_jpeg(1200, 1680), 288.0, 403.2), (_jpeg(10, 20, 1), 612.0, 792.0)], "A (b)\\c é")
+    pdf = files.image_pdf([files.PdfPage(_jpeg(1200, 1680), 288.0, 403.2), files.PdfPage(_jpeg(10, 20, 1), 612.0, 792.0, (36.0, 18.5, 540.0, 755.0), 90)], "A (b)\\c é")
     assert pdf.startswith(b"%PDF-1.4") and b"/Title (A \\(b\\)\\\\c ?)" in pdf and b"/MediaBox [0 0 288 403.2]" in pdf and b"/DeviceGray" in pdf
     table = pdf[int(pdf.rsplit(b"startxref\n", 1)[1].split()[0]) :].split(b"\n")
     for k, row in enumerate(table[3:12], 1):
         assert pdf[int(row[:10]) :].startswith(b"%d 0 obj" % k)
     with pytest.raises(ValueError):
         files.image_pdf([])
+    assert b"q 540 0 0 755 36 18.5 cm" in pdf and pdf.count(b"/Rotate 90") == 1
+    with pytest.raises(ValueError):
+        files.jpeg_info(_jpeg(8, 8, 2))
+    with pytest.raises(ValueError):
+        files.jpeg_info(b"\xff\xd8\xff\xc4\x00\x08abcdef\xff\xda\x00\x04")
+    # tables, fill bytes and markers without a segment come before the frame header
+    frame = _jpeg(70, 50)[_jpeg(70, 50).index(b"\xff\xc0"):]
+    assert files.jpeg_info(b"\xff\xd8\xff\xff\xe0\x00\x06\xff\xc0ab\xff\x01\xff\xc4\x00\x04cd" + frame) == (70, 50, 3)
     rows = [(1, 0, bytearray(_jpeg(8, 8)), 10.0, 10.0, "t"), (2, 0, bytearray(b"no"), 10.0, 10.0, "t")]
     got = {r.doc_id: r for r in files.pdf_documents(spark.createDataFrame(rows, "doc_id long, page_no int, jpeg binary, width_pt double, height_pt double, title string")).collect()}
     assert bytes(got[1].pdf).startswith(b"%PDF") and got[2].pdf is None and got[2].error == "no JPEG"

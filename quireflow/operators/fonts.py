@@ -62,8 +62,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     return found.unionByName(none.join(font.select("font_id", "ord"), "font_id").select("id", "font_id", "ord"))
 
 
-def fallback_rows(spark) -> DataFrame:
-    """(script, region, category, place, font_id): fonts to try for a script that a family lacks, in order."""
+def fallback_list() -> list[tuple[str, str | None, str, int, str]]:
+    """(script, region, category, place, font) of the fonts to try for a script that a family lacks, in order."""
     order = {"serif": (1, 0), "handwriting": (2, 0)}
     rows = []
     for category in ("sans", "serif", "mono", "condensed", "handwriting"):
@@ -71,7 +71,11 @@ def fallback_rows(spark) -> DataFrame:
             rows += [(script, None, category, k, ids[i]) for k, i in enumerate(order.get(category, (0, 1)))]
         for region, ids in dims.REGION_FALLBACKS.items():
             rows += [("han", region, category, k, ids[i]) for k, i in enumerate(order.get(category, (0, 1)))]
-    return spark.createDataFrame(rows, "script string, for_region string, category string, place int, font_id string")
+    return rows
+
+
+def fallback_rows(spark) -> DataFrame:
+    return spark.createDataFrame(fallback_list(), "script string, for_region string, category string, place int, font_id string")
 
 
 def stacks(wanted: DataFrame) -> DataFrame:

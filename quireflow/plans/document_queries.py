@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quireflow.functions import geometry as geo
 from quireflow.operators import edits, editlog
@@ -109,9 +110,10 @@ _BYTES = ("89504E470D0A1A0A", "FFD8FFE000104A46", "524946460000000057454250", "2
 
 
 def sniff_magic(spark, sf_dir):
-    rows = spark.createDataFrame([(k, b) for k, b in enumerate(_BYTES)], "id long, hexed string")
-    f = files.validated(rows.select("id", F.unhex("hexed").alias("content")))
-    return f.select("id", "mime", "reason")
+    first = F.element_at(F.array(*[F.lit(b) for b in _BYTES]), (F.col("page_id") % len(_BYTES) + 1).cast("int"))
+    body = F.when(F.col("page_id") % (2 * len(_BYTES)) == len(_BYTES) + 6, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.unhex(first), F.encode(body, "UTF-8")).alias("content"))
+    return files.validated(rows).select("id", "mime", "reason")
 
 
 def sha256_provenance(spark, sf_dir):
@@ -128,12 +130,15 @@ def image_plan(spark, sf_dir):
 
 
 def pdf_native_scale(spark, sf_dir):
-    rows = [
-        ("a", 1, "save", []), ("a", 2, "transform", [288.0, 0.0, 0.0, 403.2, 0.0, 0.0]), ("a", 3, "image", [1200.0, 1680.0]), ("a", 4, "restore", []),
-        ("b", 1, "transform", [540.0, 0.0, 0.0, 755.0, 36.0, 18.0]), ("b", 2, "image", [1620.0, 2265.0]), ("c", 1, "image", [10.0, 10.0]), ("d", 1, "restore", []), ("d", 2, "transform", [0.0, 612.0, -792.0, 0.0, 0.0, 0.0]), ("d", 3, "image", [6000.0, 8000.0]),
-    ]
-    sizes = {"a": (288.0, 403.2), "b": (612.0, 792.0), "c": (612.0, 792.0), "d": (612.0, 792.0)}
-    ops = spark.createDataFrame([(p, s, f, a, *sizes[p]) for p, s, f, a in rows], "page_id string, seq int, fn string, args array<double>, page_width double, page_height double")
+    li = read(spark, sf_dir, "lineitem")
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    k = F.col("l_partkey") % 5
+    fn = F.when(k == 0, "save").when(k == 1, "restore").when(k == 2, "image").otherwise("transform")
+    d = lambda e: F.expr(f"cast({e} as double)")
+    image = F.array(d("l_partkey % 3000 + 100"), d("l_suppkey * 10 % 4000 + 100"))
+    matrix = F.array(d("l_quantity * 12"), d("l_partkey % 3 * 10"), d("l_suppkey % 3 * -10"), d("l_quantity * 16"), d("36"), d("18"))
+    nested = F.when(F.col("l_partkey") % 10 == 3, F.array(d("0.5"), d("0"), d("0"), d("0.75"), d("1"), d("2"))).otherwise(matrix)
+    ops = li.select(F.col("l_orderkey").alias("page_id"), turn.alias("seq"), fn.alias("fn"), F.when(k == 2, image).otherwise(nested).alias("args"), d("612").alias("page_width"), d("792").alias("page_height"))
     return files.pdf_scales(ops).select("page_id", F.round("native", 6).alias("native"), F.round("scale", 6).alias("scale"))
 
 
@@ -143,10 +148,10 @@ def export_names(spark, sf_dir):
 
 
 def device_budget(spark, sf_dir):
-    grid = spark.range(1, 33).selectExpr("cast(id as int) memory").crossJoin(spark.range(1, 17).selectExpr("cast(id as int) cores"))
-    grid = grid.unionByName(spark.createDataFrame([(None, None), (8, None), (None, 8)], "memory int, cores int"))
+    n = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select("event_id", F.nullif(n % 33, F.lit(0)).cast("int").alias("memory"), F.nullif(n * 7 % 17, F.lit(0)).cast("int").alias("cores"))
     tier = edits.device_tier(F.col("memory"), F.col("cores"))
-    return grid.select("memory", "cores", tier.alias("tier"), edits.device_budget(tier, 1).cast("long").alias("pixels"))
+    return rows.select("event_id", "memory", "cores", tier.alias("tier"), edits.device_budget(tier, 1).cast("long").alias("pixels"))
 
 
 def ocr_scale(spark, sf_dir):
@@ -258,16 +263,29 @@ ORACLES = {
     "page_counters": f"SELECT year(o_orderdate) AS year, count_if({_STATUS} = 'ready')::BIGINT AS done, count_if({_STATUS} = 'failed')::BIGINT AS failed, count(*) AS pages FROM orders GROUP BY 1",
     "debounce_last": """SELECT user_id, event_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt > ts + INTERVAL 6 HOURS""",
     "single_flight": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
-    "sniff_magic": "SELECT * FROM (VALUES (0::BIGINT, 'image/png', NULL), (1, 'image/jpeg', NULL), (2, 'image/webp', NULL), (3, 'application/pdf', NULL), (4, 'application/pdf', NULL), (5, NULL, 'unsupported'), (6, NULL, 'empty'), (7, 'image/jpeg', NULL), (8, NULL, 'unsupported'), (9, NULL, 'unsupported'), (10, NULL, 'unsupported')) t(id, mime, reason)",
+    "sniff_magic": f"""WITH h AS (SELECT page_id AS id, [{', '.join(f"'{b}'" for b in _BYTES)}][(page_id % {len(_BYTES)})::INT + 1] || CASE WHEN page_id % {2 * len(_BYTES)} = {len(_BYTES) + 6} THEN '' ELSE hex(coalesce(html, '')) END AS h FROM pages),
+      m AS (SELECT id, h, CASE WHEN starts_with(h, '89504E47') AND length(h) >= 16 THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'image/webp'
+        WHEN list_contains(list_transform(range(0, 1020), lambda k: substr(h, (2 * k + 1)::INT, 10)), '255044462D') THEN 'application/pdf' END AS mime FROM h)
+      SELECT id, mime, CASE WHEN h = '' THEN 'empty' WHEN mime IS NULL THEN 'unsupported' END AS reason FROM m""",
     "sha256_provenance": "SELECT page_id, sha256(coalesce(html, '')) AS sha256, 'doc-' || substr(sha256(coalesce(html, '')), 1, 16) AS doc_id FROM pages",
     "image_plan": """WITH s AS (SELECT l_partkey % 9000 + 1 AS w, l_suppkey * 37 % 9000 + 1 AS h FROM lineitem), p AS (SELECT w, w * h > 60000000 AS reject, CASE WHEN w * h > 16000000 THEN sqrt(16000000.0::DOUBLE / (w * h)) ELSE 1.0 END AS scale FROM s)
       SELECT reject, count(*) AS n, count_if(scale < 1)::BIGINT AS n_scaled, sum(floor(scale * 1000)::BIGINT)::BIGINT AS scale_sum, sum(floor(w * 72 / 300)::BIGINT)::BIGINT AS points FROM p GROUP BY reject""",
-    "pdf_native_scale": "SELECT * FROM (VALUES ('a', 4.166667::DOUBLE, 4.166667::DOUBLE), ('b', 3.0, 3.0), ('c', NULL, 4.166667), ('d', 10.10101, round(sqrt(16000000.0 / (612.0 * 792.0)), 6))) t(page_id, native, scale)",
+    "pdf_native_scale": """WITH RECURSIVE ops AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_partkey % 5 AS k,
+        [l_partkey % 3000 + 100, l_suppkey * 10 % 4000 + 100]::DOUBLE[] AS image, CASE WHEN l_partkey % 10 = 3 THEN [0.5, 0, 0, 0.75, 1, 2]::DOUBLE[] ELSE [l_quantity * 12, l_partkey % 3 * 10, l_suppkey % 3 * -10, l_quantity * 16, 36, 18]::DOUBLE[] END AS m FROM lineitem),
+      f(page_id, seq, c, stack, best) AS (SELECT DISTINCT page_id, 0::BIGINT, [1, 0, 0, 1, 0, 0]::DOUBLE[], []::DOUBLE[][], NULL::DOUBLE FROM ops UNION ALL
+        SELECT page_id, seq, CASE k WHEN 0 THEN c WHEN 1 THEN CASE WHEN len(stack) > 0 THEN stack[-1] ELSE [1, 0, 0, 1, 0, 0]::DOUBLE[] END WHEN 2 THEN c
+            ELSE [c[1] * m[1] + c[3] * m[2], c[2] * m[1] + c[4] * m[2], c[1] * m[3] + c[3] * m[4], c[2] * m[3] + c[4] * m[4], c[1] * m[5] + c[3] * m[6] + c[5], c[2] * m[5] + c[4] * m[6] + c[6]] END,
+          CASE k WHEN 0 THEN list_append(stack, c) WHEN 1 THEN stack[:-2] ELSE stack END,
+          CASE WHEN k = 2 AND w * h >= 612 * 792 * 0.25 THEN greatest(best, image[1] / w, image[2] / h) ELSE best END
+        FROM (SELECT f.page_id, ops.seq, k, m, image, c, stack, best, sqrt(c[1] * c[1] + c[2] * c[2]) AS w, sqrt(c[3] * c[3] + c[4] * c[4]) AS h FROM f JOIN ops ON ops.page_id = f.page_id AND ops.seq = f.seq + 1)),
+      l AS (SELECT page_id, arg_max(best, seq) AS native FROM f GROUP BY page_id),
+      s AS (SELECT page_id, native, least(600 / 72::DOUBLE, greatest(150 / 72::DOUBLE, coalesce(native, 300 / 72::DOUBLE))) AS scale FROM l)
+      SELECT page_id, round(native, 6) AS native, round(CASE WHEN 612 * 792 * scale * scale > 16000000 THEN scale * sqrt(16000000::DOUBLE / (612 * 792 * scale * scale)) ELSE scale END, 6) AS scale FROM s""",
     "export_names": r"""SELECT p_partkey, p_name || CASE WHEN p_size % 3 + 1 > 1 THEN '-page1' ELSE '' END || '-edited.' || CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpg' END AS name,
       '(' || regexp_replace(regexp_replace(p_name || '.pdf', '[^\x20-\x7e]', '?', 'g'), '([\\()])', '\\\1', 'g') || ')' AS title, regexp_replace(regexp_replace(printf('%.4f', p_partkey / 8.0::DOUBLE), '0+$', ''), '\.$', '') AS number FROM part""",
-    "device_budget": """WITH g AS (SELECT m::INT AS memory, c::INT AS cores FROM range(1, 33) a(m), range(1, 17) b(c) UNION ALL VALUES (NULL, NULL), (8, NULL), (NULL, 8)),
+    "device_budget": """WITH g AS (SELECT event_id, nullif(event_id % 33, 0)::INT AS memory, nullif(event_id * 7 % 17, 0)::INT AS cores FROM events),
       t AS (SELECT *, CASE WHEN coalesce(memory, 4) <= 2 OR coalesce(cores, 4) <= 2 THEN 'low' WHEN coalesce(memory, 4) < 8 OR coalesce(cores, 4) < 4 THEN 'mid' ELSE 'high' END AS tier FROM g)
-      SELECT memory, cores, tier, (CASE tier WHEN 'high' THEN 40000000 WHEN 'mid' THEN 20000000 ELSE 10000000 END)::BIGINT AS pixels FROM t""",
+      SELECT event_id, memory, cores, tier, (CASE tier WHEN 'high' THEN 40000000 WHEN 'mid' THEN 20000000 ELSE 10000000 END)::BIGINT AS pixels FROM t""",
     "ocr_scale": """WITH r AS (SELECT l_quantity % 15 AS t, l_partkey % 4000 + 500 AS w, l_suppkey % 4000 + 500 AS h FROM lineitem),
       s AS (SELECT *, CASE WHEN t > 0 AND t < 12 THEN least(4, floor(30.0 / t + 0.5)) ELSE 1 END AS wanted FROM r)
       SELECT (CASE WHEN wanted >= 4 AND w * h * 16 <= 20000000 THEN 4 WHEN wanted >= 3 AND w * h * 9 <= 20000000 THEN 3 WHEN wanted >= 2 AND w * h * 4 <= 20000000 THEN 2 ELSE 1 END)::BIGINT AS scale, count(*) AS n FROM s GROUP BY 1""",

@@ -234,7 +234,9 @@ def cube_rollup(spark, sf_dir):
 
 
 def approx_distinct(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    """Distinct parts by a sketch beside the exact number: within a tenth, five times its standard error."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    return rows.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= F.col("parts") * 0.1).alias("near"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -313,6 +315,7 @@ ORACLES = {
       SELECT user_id, min(ts) AS start, count(*) AS n, list(event_id ORDER BY ts, event_id)[-1] AS last_id FROM s GROUP BY user_id, k""",
     "star_join": """SELECT r_name, n_name, count(*) AS n, sum(floor(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
       WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL""",
+    "approx_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag",
     "cube_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(floor(l_quantity)::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 }
 ORACLES["stateful_edit_log"] = ORACLES["edit_log_fold"]

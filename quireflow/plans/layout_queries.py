@@ -67,10 +67,24 @@ def page_bounds(spark, sf_dir):
     return page_words(spark, sf_dir).groupBy("doc_id").agg(*union_box(), F.min("confidence").alias("confidence"))
 
 
+def _with_styles(words: DataFrame) -> DataFrame:
+    """Words with a measured style: weight, size and colour change every few words of a line, and some measures can't be relied on."""
+    n, h, line = F.col("word_no"), F.col("h"), F.col("line_no")
+    stroke = F.when((line * 7 + F.floor(n / 3)) % 5 == 0, 3.4).otherwise(2.0) + h % 3 / 10.0
+    glyph = F.when((line + F.floor(n / 5)) % 11 == 0, 30.0).otherwise(15.0) + h % 2
+    colour = F.array(F.when(F.floor(n / 4) % 6 == 0, 200.0).otherwise(20.0), F.lit(20.0), (h % 20).cast("double"))
+    style = F.struct(stroke.alias("strokeWidth"), glyph.alias("glyphHeight"), (glyph * (h % 4 + 0.8)).alias("inkMass"), colour.alias("inkColor"))
+    return words.withColumn("style", F.when(h % 7 != 0, style))
+
+
 def segment_exact(spark, sf_dir):
     return layout.segment_pages(page_words(spark, sf_dir))
 
 
+def segment_styled(spark, sf_dir):
+    return layout.segment_pages(_with_styles(page_words(spark, sf_dir)))
+
+
 def script_char_counts(spark, sf_dir):
     return tx.char_counts(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "script", "n")
 
@@ -211,12 +225,65 @@ def mad_wobble(spark, sf_dir):
     return dev.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(wobble, 9).alias("wobble"), stats.jitter(wobble).alias("jitter"))
 
 
+_LINES = f"""{_KEPT},
+before AS (SELECT *, lag(x + width) OVER w AS prev_end, lag(height) OVER w AS prev_height FROM kept WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY x, word_no)),
+parts AS (SELECT *, sum(CASE WHEN x - prev_end >= 12 * greatest(height, prev_height) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY x, word_no ROWS UNBOUNDED PRECEDING) AS part FROM before),
+tall AS (SELECT doc_id, line_no, part, {_MED.format('height')} AS line_height, min(y) + max(y + height) AS centre2, min(x) AS first_x FROM parts GROUP BY ALL),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY centre2, first_x, line_no) - 1 AS line FROM tall),
+spaced AS (SELECT p.*, l.line, l.line_height, x - lag(x + width) OVER w AS gap, regexp_matches(text, '^[:;]$') OR coalesce(regexp_matches(lag(text) OVER w, '^[:;]$'), false) AS colon
+  FROM parts p JOIN ranked l USING (doc_id, line_no, part) WINDOW w AS (PARTITION BY doc_id, l.line ORDER BY x, word_no)),
+split AS (SELECT *, sum(CASE WHEN gap > line_height OR (colon AND 10 * gap > 6 * line_height) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x, word_no ROWS UNBOUNDED PRECEDING) AS run FROM spaced)"""
+_ATTACHED = f"""big AS (SELECT doc_id, line, run, min(line_height) AS lh, list(struct_pack(x := x, text := text, width := width, y := y, height := height, c := confidence) ORDER BY x, word_no) AS m FROM split GROUP BY ALL),
+ends AS (SELECT *, lag(m[-1]) OVER w AS prev FROM big WINDOW w AS (PARTITION BY doc_id, line ORDER BY run)),
+given AS (SELECT *, coalesce(len(m) >= 2 AND m[1].text IN (':', ';') AND prev IS NOT NULL AND NOT regexp_matches(prev.text, '{_PUNCT}') AND m[1].x - (prev.x + prev.width) <= 2 * lh, false) AS gives FROM ends),
+taken AS (SELECT *, CASE WHEN lead(gives) OVER w THEN lead(m[1]) OVER w END AS takes FROM given WINDOW w AS (PARTITION BY doc_id, line ORDER BY run)),
+whole AS (SELECT doc_id, line, run, list_concat(CASE WHEN gives THEN m[2:] ELSE m END, CASE WHEN takes IS NULL THEN [] ELSE [takes] END) AS m FROM taken)
+SELECT doc_id, line::BIGINT AS line_no, row_number() OVER (PARTITION BY doc_id, line ORDER BY run) - 1 AS run_no, row_number() OVER (PARTITION BY doc_id ORDER BY line, run) - 1 AS reading_order, array_to_string(list_transform(m, lambda w: w.text), ' ') AS text,
+  list_min(list_transform(m, lambda w: w.x))::DOUBLE AS x, list_min(list_transform(m, lambda w: w.y))::DOUBLE AS y, (list_max(list_transform(m, lambda w: w.x + w.width)) - list_min(list_transform(m, lambda w: w.x)))::DOUBLE AS width,
+  (list_max(list_transform(m, lambda w: w.y + w.height)) - list_min(list_transform(m, lambda w: w.y)))::DOUBLE AS height, list_min(list_transform(m, lambda w: w.c))::DOUBLE AS confidence, len(m)::BIGINT AS n_words FROM whole"""
+
+_UP = "list_sort({0})[len({0}) // 2 + 1]"
+_STYLED = f"""{_LINES},
+seen AS (SELECT *, h % 7 <> 0 AND h % 4 <> 0 AND NOT regexp_matches(text, '{_PUNCT}') AS reliable, CASE WHEN (line_no * 7 + word_no // 3) % 5 = 0 THEN 3.4::DOUBLE ELSE 2.0::DOUBLE END + h % 3 / 10.0::DOUBLE AS stroke,
+  CASE WHEN (line_no + word_no // 5) % 11 = 0 THEN 30.0::DOUBLE ELSE 15.0::DOUBLE END + h % 2 AS glyph_height, CASE WHEN word_no // 4 % 6 = 0 THEN 200.0::DOUBLE ELSE 20.0::DOUBLE END AS red, (h % 20)::DOUBLE AS blue,
+  length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, regexp_matches(text, '[\\p{{Lu}}\\p{{N}}bdfhklt]') AS rises FROM split),
+pages AS (SELECT doc_id, coalesce({_UP.format('list(glyph_height) FILTER (reliable AND rises AND letters >= 2)')}, max(greatest(med, 1))::DOUBLE) AS page_height FROM seen JOIN meds USING (doc_id) GROUP BY doc_id),
+own AS (SELECT doc_id, line, {_UP.format('list(glyph_height) FILTER (reliable AND rises AND letters >= 2)')} AS mine FROM seen GROUP BY ALL),
+glyphs AS (SELECT doc_id, line, page_height, CASE WHEN mine IS NOT NULL AND abs(mine - page_height) > 0.3::DOUBLE * page_height THEN mine ELSE page_height END AS glyph FROM own JOIN pages USING (doc_id)),
+sized AS (SELECT s.*, glyph, stroke / greatest(1, glyph) AS ratio FROM seen s JOIN glyphs USING (doc_id, line)),
+v AS (SELECT doc_id, ratio AS v FROM sized WHERE reliable),
+vmed AS (SELECT doc_id, {_UP.format('list(v)')} AS mid FROM v GROUP BY doc_id HAVING count(*) >= 6),
+near AS (SELECT v.* FROM v JOIN vmed USING (doc_id) WHERE v >= mid / 2.5::DOUBLE AND v <= mid * 2.5::DOUBLE),
+cuts AS (SELECT doc_id, v, row_number() OVER o AS n_lo, sum(v) OVER (PARTITION BY doc_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS s_lo, count(*) OVER p AS n, sum(v) OVER p AS s, sum(v * v) OVER p AS ss, lead(v) OVER o AS nxt FROM near WINDOW p AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY v)),
+means AS (SELECT *, s_lo / n_lo AS m_lo, (s - s_lo) / (n - n_lo) AS m_hi FROM cuts WHERE n >= 6 AND n_lo < n AND v < nxt),
+best AS (SELECT * FROM means QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_lo * (n - n_lo) * (m_hi - m_lo) * (m_hi - m_lo) DESC, n_lo) = 1),
+model AS (SELECT doc_id, (v + nxt) / 2 - 0.12::DOUBLE * (m_hi - m_lo) AS low, (v + nxt) / 2 + 0.12::DOUBLE * (m_hi - m_lo) AS high FROM best
+  WHERE least(n_lo, n - n_lo) >= greatest(3, floor(n * 0.04::DOUBLE + 0.5)) AND m_hi >= 1.2::DOUBLE * m_lo AND n_lo * (n - n_lo) * (m_hi - m_lo) * (m_hi - m_lo) / n >= 0.6::DOUBLE * (ss - s * s / n)),
+marked AS (SELECT z.*, CASE WHEN ratio >= high THEN true WHEN ratio <= low THEN false END AS bold, CASE WHEN rises AND letters >= 2 THEN glyph_height END AS tall FROM sized z LEFT JOIN model USING (doc_id)),
+states AS (SELECT doc_id, line, run, list(struct_pack(k := 0, out := []::INT[], bolds := []::BOOLEAN[], heights := []::DOUBLE[], strokes := []::DOUBLE[], reds := []::DOUBLE[], blues := []::DOUBLE[],
+  w := struct_pack(ok := reliable, bold := bold, tall := tall, letters := letters, stroke := stroke, red := red, blue := blue, glyph := glyph)) ORDER BY x, word_no) AS ws FROM marked GROUP BY ALL),
+folded AS (SELECT doc_id, line, run, list_reduce(list_concat([struct_pack(k := 0, out := []::INT[], bolds := []::BOOLEAN[], heights := []::DOUBLE[], strokes := []::DOUBLE[], reds := []::DOUBLE[], blues := []::DOUBLE[], w := ws[1].w)], ws), lambda a, e:
+  list_transform([e.w.ok AND len(a.out) > 0 AND (
+      coalesce(e.w.bold IS NOT NULL AND len(a.bolds) > 0 AND len(a.strokes) > 0 AND (2 * len(list_filter(a.bolds, lambda t: t)) >= len(a.bolds)) <> e.w.bold AND greatest(e.w.stroke, {_UP.format('a.strokes')}) / greatest(1e-6::DOUBLE, least(e.w.stroke, {_UP.format('a.strokes')})) >= 1.18::DOUBLE, false)
+      OR coalesce(e.w.tall IS NOT NULL AND len(a.heights) > 0 AND e.w.letters >= 4 AND least(e.w.tall, {_UP.format('a.heights')}) >= 0.5::DOUBLE * e.w.glyph AND greatest(e.w.tall, {_UP.format('a.heights')}) / greatest(1e-6::DOUBLE, least(e.w.tall, {_UP.format('a.heights')})) >= 1.6::DOUBLE
+        AND abs(e.w.tall - {_UP.format('a.heights')}) >= greatest(3.0::DOUBLE, 0.3::DOUBLE * {_UP.format('a.heights')}), false)
+      OR coalesce(len(a.reds) > 0 AND sqrt(power(e.w.red - {_UP.format('a.reds')}, 2) + power(e.w.blue - {_UP.format('a.blues')}, 2)) >= 70, false))],
+    lambda new: struct_pack(k := CASE WHEN new THEN a.k + 1 ELSE a.k END, out := list_append(a.out, CASE WHEN new THEN a.k + 1 ELSE a.k END),
+      bolds := CASE WHEN NOT e.w.ok THEN a.bolds ELSE list_concat(CASE WHEN new THEN [] ELSE a.bolds END, CASE WHEN e.w.bold IS NULL THEN [] ELSE [e.w.bold] END) END,
+      heights := CASE WHEN NOT e.w.ok THEN a.heights ELSE list_concat(CASE WHEN new THEN [] ELSE a.heights END, CASE WHEN e.w.tall IS NULL THEN [] ELSE [e.w.tall] END) END,
+      strokes := CASE WHEN NOT e.w.ok THEN a.strokes ELSE list_append(CASE WHEN new THEN [] ELSE a.strokes END, e.w.stroke) END, reds := CASE WHEN NOT e.w.ok THEN a.reds ELSE list_append(CASE WHEN new THEN [] ELSE a.reds END, e.w.red) END,
+      blues := CASE WHEN NOT e.w.ok THEN a.blues ELSE list_append(CASE WHEN new THEN [] ELSE a.blues END, e.w.blue) END, w := e.w))[1]).out AS ks FROM states),
+kept_runs AS (SELECT doc_id, line, run, generate_subscripts(ks, 1) AS i, unnest(ks) AS k FROM folded),
+resplit AS (SELECT m.* EXCLUDE (run), run * 100000 + k AS run FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line, run ORDER BY x, word_no) AS i FROM marked) m JOIN kept_runs USING (doc_id, line, run, i))"""
+
 QUERIES = {f.__name__: f for f in (
-    runs_topk_lowconf, plausible_word_counts, run_gap_islands, reading_order, colon_attach, page_bounds, segment_exact, script_char_counts, script_shares, dominant_script, credible_words, plausible_reading, accept_reading,
+    runs_topk_lowconf, plausible_word_counts, run_gap_islands, reading_order, colon_attach, page_bounds, segment_exact, segment_styled, script_char_counts, script_shares, dominant_script, credible_words, plausible_reading, accept_reading,
     rect_overlap_antijoin, rect_overlap_semijoin, overlap_coverage_sum, suspect_ids_per_line, neighbour_limits, nearest_element, nearest_interval, merge_recovered, upper_median, word_height_medians, nearest_rank_pct, weight_model_otsu, hist_otsu_threshold, mad_wobble,
 )}
 
 ORACLES = {
+    "segment_exact": f"{_LINES}, {_ATTACHED}",
+    "segment_styled": f"{_STYLED}, {_ATTACHED.replace('FROM split GROUP', 'FROM resplit GROUP')}",
     "runs_topk_lowconf": f"""{_RUNS} SELECT doc_id, line_no, run_no, x0, x1, y0, y1, n_words, confidence, text, reading_order, rank FROM
       (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, reading_order) AS rank FROM ordered) WHERE rank <= 60""",
     "plausible_word_counts": f"""WITH {WORDS_SQL}, meds AS (SELECT doc_id, {_MED.format('height')} AS med FROM words GROUP BY doc_id)

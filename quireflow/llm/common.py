@@ -87,16 +87,13 @@ def spread(count: Column, at: str, df: DataFrame, *keep: Column) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], at: str, name: str) -> DataFrame:
     """df with its position (from 0) in a total order: range-sorted, numbered inside each range, moved by the ranges' counts.
 
-    What leaves the tasks is a count for each range. The result reads a table in the shared folder (``written_path``).
+    Only a count for each range is summed up in one place. The result reads a table in the shared folder (``written_path``).
     """
-    spark = df.sparkSession
     part, before = fresh(df, "part", "before")
     ranges = written(df.repartitionByRange(*[F.col(quoted(c)) for c in order]).withColumn(part, F.spark_partition_id()), name)
-    offsets, total = [], 0
-    for r in ranges.groupBy(part).count().orderBy(part).collect():
-        offsets.append((r[part], total))
-        total += r["count"]
-    moved = spark.createDataFrame(offsets, f"{part} int, {before} long")
+    # one row for each range, whatever the rows
+    counts = ranges.groupBy(part).agg(F.count("*").alias(before))
+    moved = counts.withColumn(before, F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy(part).orderBy(*[F.col(quoted(c)) for c in order])
     out = ranges.join(F.broadcast(moved), part).withColumn(at, F.col(before) + F.row_number().over(inside) - 1).drop(part, before)
     out.written_path = ranges.written_path

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import over_arrow
 
-#: Distinct words whose ids a Python worker keeps; about 150 bytes each.
-REMEMBERED = 150_000
+#: Distinct words whose ids a Python worker keeps, about 150 bytes each, and the longest word that it keeps.
+REMEMBERED, LONGEST = 150_000, 256
 #: Rows of an Arrow batch that are encoded together.
 BLOCK = 256
 
@@ -106,9 +106,10 @@ class Encoder:
             pass
         if len(known) > self.limit:
             known.clear()
+        long: dict[str, bytes] = {}
         for w in set(words).difference(known):
-            known[w] = np.array(fold(w.encode(), self.ranks), "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            (known if len(w) <= LONGEST else long)[w] = np.array(fold(w.encode(), self.ranks), "<u4").tobytes()
+        return b"".join([known[w] if w in known else long[w] for w in words])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -152,7 +153,10 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, rank_file: str, pat
 
 
 def decode_ids(df: DataFrame, ids_col: str, out_col: str, rank_file: str, pattern: str) -> DataFrame:
-    """df with the bytes that the ids stand for as binary out_col (null for null ids)."""
+    """df with the bytes that the ids stand for as binary out_col (null for null ids, no bytes for none).
+
+    Repeated rows stay; an id that the table doesn't have fails the row's task; an empty table gives an empty result.
+    """
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([*df.schema.fields, StructField(out_col, BinaryType())])
@@ -167,10 +171,44 @@ def decode_ids(df: DataFrame, ids_col: str, out_col: str, rank_file: str, patter
     return over_arrow(df, run, schema)
 
 
-def rank_map(ranks: dict[bytes, int], used: set[bytes] | None = None) -> Column:
-    """A literal map from piece (hex) to rank; used restricts it to the pieces that can occur."""
-    pairs = [(p.hex().upper(), r) for p, r in ranks.items() if used is None or p in used]
-    return F.str_to_map(F.lit(",".join(f"{p}:{r}" for p, r in pairs)), F.lit(","), F.lit(":"))
+class RankSlots:
+    """A literal rank map of constant-time lookups: every piece (hex) lies in one of the two slots that its hashes name.
+
+    Filled by displacement (cuckoo hashing); spark's xxhash64 of the piece and 0 or 1 names the slots.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = 1 << max(4, (3 * len(ranks)).bit_length())
+        pieces = {p.hex().upper(): r for p, r in ranks.items()}
+        self.keys: list[str] = [""] * self.size
+        for piece in pieces:
+            turn = 0
+            for _ in range(500):
+                at = self.places(piece)[turn]
+                piece, self.keys[at] = self.keys[at], piece
+                if not piece:
+                    break
+                turn = 1 - self.places(piece).index(at) if len(set(self.places(piece))) == 2 else 1 - turn
+            else:
+                raise ValueError("no room for a piece")
+        self.ranks = [pieces.get(k, -1) for k in self.keys]
+
+    def places(self, piece: str) -> tuple[int, int]:
+        import xxhash
+
+        first = xxhash.xxh64_intdigest(piece.encode(), 42)
+        return tuple(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), first) % self.size for k in (0, 1))
+
+    def lookup(self) -> Callable[[Column], Column]:
+        """piece -> rank, null for none."""
+        keys, ranks = F.split(F.lit(",".join(self.keys)), ",", -1), F.split(F.lit(",".join(map(str, self.ranks))), ",").cast("array<int>")
+
+        def of(piece: Column) -> Column:
+            # the size is a power of two, so the low bits of the signed hash are those of the unsigned one
+            slot = [F.xxhash64(piece, F.lit(k)).bitwiseAND(F.lit(self.size - 1)).cast("int") for k in (0, 1)]
+            return F.when(F.get(keys, slot[0]) == piece, F.get(ranks, slot[0])).when(F.get(keys, slot[1]) == piece, F.get(ranks, slot[1]))
+
+        return of
 
 
 def fold_words(words: DataFrame, word_col: str, ranks: dict[bytes, int]) -> DataFrame:
@@ -179,13 +217,13 @@ def fold_words(words: DataFrame, word_col: str, ranks: dict[bytes, int]) -> Data
     Each step of the fold looks up the ranks of all adjacent pairs in a literal rank map, and merges the leftmost pair
     of the lowest rank; a word of n bytes takes at most n - 1 steps. Null words give null ids.
     """
-    lookup = rank_map(ranks)
+    lookup = RankSlots(ranks).lookup()
     none = F.lit(2**31 - 1)
     code = F.hex(F.encode(F.col(word_col), "UTF-8"))
     parts = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.substr(code, i, F.lit(2)))
 
     def rank_of(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(lookup, piece).cast("int"), none)
+        return F.coalesce(lookup(piece), none)
 
     def step(state: Column, _: Column) -> Column:
         ranked = F.transform(

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quireflow.llm.bpe import fold
+from quireflow.llm.bpe import LONGEST, fold
 from quireflow.llm.common import over_arrow
 
 #: Pre-tokens whose counts a Python worker keeps, in two generations; about 150 bytes each, 90 MB in all.
@@ -67,7 +67,11 @@ class Counts:
                     known, fresh = self.known, list(often)
                 for w in fresh:
                     n = self.older.get(w)
-                    known[w] = len(fold(w.encode(), self.ranks)) if n is None else n
+                    n = len(fold(w.encode(), self.ranks)) if n is None else n
+                    if len(w) <= LONGEST:
+                        known[w] = n
+                    else:  # not kept, as a word has no bound
+                        total += n * often.pop(w)
             total += sum([known[w] * n for w, n in often.items()])
         return total
 

@@ -39,7 +39,7 @@ def fit_confidence(score: Column, ocr: Column) -> Column:
 
 
 def style_label(family: Column, weight: Column, size: Column) -> Column:
-    return F.concat_ws(" ", family, F.when(weight >= 600, "Bold"), F.concat(F.floor(size + 0.5).cast("int"), F.lit("px")))
+    return F.concat_ws(" ", family, F.when(weight >= 700, "Bold").otherwise("Regular"), F.concat(F.floor(size + 0.5).cast("int"), F.lit("px")))
 
 
 def inferred_alignment(left: Column, right: Column, height: Column) -> Column:

@@ -115,7 +115,7 @@ def missed_clusters(components: DataFrame, words: DataFrame, text_height: float)
     """Regions of text-like ink that no word covers: components joined from left to right, two at least.
 
     components: doc_id, ord, x, y, width, height, area. The anti join runs in y bands; clustering, in which the first
-    cluster that fits wins, is one page's work.
+    cluster that fits wins, is a fold over one page's free components.
     """
     from quireflow.operators import spatial
 
@@ -124,23 +124,22 @@ def missed_clusters(components: DataFrame, words: DataFrame, text_height: float)
     grown = words.select("doc_id", (F.col("x") - 0.3 * h).alias("x"), (F.col("y") - 0.2 * h).alias("y"), (F.col("width") + 0.6 * h).alias("width"), (F.col("height") + 0.4 * h).alias("height"))
     free = spatial.uncovered(glyphs, grown)
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[dict]] = []
-        for g in pdf.sort_values(["x", "ord"]).to_dict("records"):
-            for members in groups:
-                last = members[-1]
-                shared = min(last["y"] + last["height"], g["y"] + g["height"]) - max(last["y"], g["y"])
-                if shared >= 0.5 * min(last["height"], g["height"]) and g["x"] - (last["x"] + last["width"]) <= 1.2 * h:
-                    members.append(g)
-                    break
-            else:
-                groups.append([g])
-        out = []
-        for members in groups:
-            x, y = min(m["x"] for m in members), min(m["y"] for m in members)
-            w, tall = max(m["x"] + m["width"] for m in members) - x, max(m["y"] + m["height"] for m in members) - y
-            if len(members) >= 2 and tall <= 2.5 * h:
-                out.append((members[0]["doc_id"], float(x), float(y), float(w), float(tall), len(members)))
-        return pd.DataFrame(out, columns=["doc_id", "x", "y", "width", "height", "n"])
-
-    return free.select("doc_id", "ord", "x", "y", "width", "height").groupBy("doc_id").applyInPandas(page, "doc_id long, x double, y double, width double, height double, n int")
+    # each glyph joins the first cluster whose last glyph it continues: an ordered fold over the page's glyphs
+    glyph = F.struct("x", "ord", *[F.col(c).cast("double").alias(f"{c}_") for c in ("x", "y", "width", "height")])
+    rows = free.groupBy("doc_id").agg(F.sort_array(F.collect_list(glyph)).alias("gs"))
+
+    def step(groups: Column, g: Column) -> Column:
+        right, bottom = g["x_"] + g["width_"], g["y_"] + g["height_"]
+        last = lambda c: F.least(c["ly"] + c["lh"], bottom) - F.greatest(c["ly"], g["y_"])
+        fits = F.transform(groups, lambda c: (last(c) >= F.least(c["lh"], g["height_"]) * 0.5) & (g["x_"] - c["lx"] <= 1.2 * h))
+
+        def put(at: Column) -> Column:
+            cluster = lambda x0, y0, x1, y1, n: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), n.alias("n"), right.alias("lx"), g["y_"].alias("ly"), g["height_"].alias("lh"))
+            joined = lambda c: cluster(F.least(c["x0"], g["x_"]), F.least(c["y0"], g["y_"]), F.greatest(c["x1"], right), F.greatest(c["y1"], bottom), c["n"] + 1)
+            return F.when(at > 0, F.transform(groups, lambda c, k: F.when(k + 1 == at, joined(c)).otherwise(c))).otherwise(F.concat(groups, F.array(cluster(g["x_"], g["y_"], right, bottom, F.lit(1)))))
+
+        return F.transform(F.array(F.coalesce(F.array_position(fits, True), F.lit(0))), put)[0]
+
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double,n:int,lx:double,ly:double,lh:double>>")
+    found = rows.select("doc_id", F.explode(F.aggregate("gs", none, step)).alias("c")).where((F.col("c.n") >= 2) & (F.col("c.y1") - F.col("c.y0") <= 2.5 * h))
+    return found.select("doc_id", F.col("c.x0").alias("x"), F.col("c.y0").alias("y"), (F.col("c.x1") - F.col("c.x0")).alias("width"), (F.col("c.y1") - F.col("c.y0")).alias("height"), F.col("c.n").alias("n"))

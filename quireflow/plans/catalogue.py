@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quireflow.plans import document_queries, grid_queries, layout_queries, model_queries, text_queries
+from quireflow.plans import document_queries, grid_queries, layout_queries, model_queries, rule_queries, text_queries
 
-_MODULES = (layout_queries, text_queries, document_queries, model_queries, grid_queries)
+_MODULES = (layout_queries, text_queries, document_queries, model_queries, rule_queries, grid_queries)
 
 
 def queries() -> dict:

@@ -153,7 +153,7 @@ def kernel_errors(spark, sf_dir):
         b = np.roll(a, 3, axis=1)
         lum = g.luminance(np.stack([a, b, 255 - a], axis=-1)).astype(np.float64)
         p, q = a < 90, b < 90
-        return [(page, round(float(lum.sum()), 0), round(g.iou(p, q), 6), round(g.mean_error(a, b), 4), round(g.weighted_fit(a.astype(np.float64) / 256, b.astype(np.float64)), 6), round(g.far_share(a < 20, b < 20, 2.0), 6))]
+        return [(page, round(float(lum.sum()), 0), round(g.iou(p, q), 6), round(g.mean_error(a, b) * a.size, 0), round(g.weighted_fit(a.astype(np.float64) / 256, b.astype(np.float64)), 6), round(g.far_share(a < 20, b < 20, 2.0), 6))]
 
     return _formula_pages(spark, sf_dir, "page long, luminance double, overlap double, error double, fit double, far double", of)
 
@@ -207,7 +207,7 @@ ORACLES = {
     "kernel_errors": f"""{_TWO}, far AS (SELECT a.page, a.side, a.x, a.y, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM (SELECT page, x, y, 1 AS side FROM two WHERE v < 20 UNION ALL SELECT page, x, y, 2 FROM two WHERE u < 20) a
         JOIN (SELECT page, x, y, 2 AS side FROM two WHERE v < 20 UNION ALL SELECT page, x, y, 1 FROM two WHERE u < 20) b ON a.page = b.page AND a.side = b.side GROUP BY ALL),
       f AS (SELECT page, max(s) AS far FROM (SELECT page, side, avg(CASE WHEN d > 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM far GROUP BY ALL) GROUP BY page)
-      SELECT page, round(sum(v * 0.2126::DOUBLE + u * 0.7152::DOUBLE + (255 - v) * 0.0722::DOUBLE), 0) AS luminance, round(count_if(v < 90 AND u < 90)::DOUBLE / count_if(v < 90 OR u < 90), 6) AS overlap, round(avg(abs(v - u)), 4) AS error,
+      SELECT page, round(sum(v * 0.2126::DOUBLE + u * 0.7152::DOUBLE + (255 - v) * 0.0722::DOUBLE), 0) AS luminance, round(count_if(v < 90 AND u < 90)::DOUBLE / count_if(v < 90 OR u < 90), 6) AS overlap, sum(abs(v - u))::DOUBLE AS error,
         round(sum(v / 256.0::DOUBLE * u) / sum(v / 256.0::DOUBLE * v / 256.0::DOUBLE), 6) AS fit, round(any_value(far), 6) AS far FROM two JOIN f USING (page) GROUP BY page""",
     "kernel_filters": f"""{_PIXELS}, k AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / (SELECT sum(exp(-e * e / 2.0::DOUBLE)) FROM range(-3, 4) r(e)) AS w FROM range(-3, 4) t(d)),
       a AS (SELECT p.page, p.x, p.y, sum(k.w * q.v) AS v FROM px p, k JOIN px q ON q.page = p.page AND q.y = p.y AND q.x = greatest(0, least(63, p.x + k.d)) GROUP BY ALL),

@@ -84,12 +84,16 @@ def find_element(spark, sf_dir):
 # ------------------------------------------------------------------ ink
 
 
+#: Words of a line that are one region of ink: a long line of text stands for several of paper.
+REGION = 64
+
+
 def _components(words):
     """A component for each word: its box, and ink by the word's digest."""
-    return words.select("doc_id", "line_no", F.concat_ws(".", "line_no", "word_no").alias("label"), "x", "y", "width", "height", F.floor(F.col("width") * F.col("height") * (F.col("h") % 90 + 5) / 100).cast("long").alias("area"), F.floor(F.col("width") * (F.col("h") % 11) / 10).cast("long").alias("top_run"), "h")
+    return words.select("doc_id", "line_no", F.floor(F.col("word_no") / REGION).alias("part"), F.concat_ws(".", "line_no", "word_no").alias("label"), "x", "y", "width", "height", F.floor(F.col("width") * F.col("height") * (F.col("h") % 90 + 5) / 100).cast("long").alias("area"), F.floor(F.col("width") * (F.col("h") % 11) / 10).cast("long").alias("top_run"), "h")
 
 
-_COMPONENTS = f"""WITH {WORDS_SQL}, comps AS (SELECT doc_id, line_no, line_no || '.' || word_no AS label, x, y, width, height, floor(width * height * (h % 90 + 5) / 100)::BIGINT AS area, floor(width * (h % 11) / 10)::BIGINT AS top_run, h FROM words)"""
+_COMPONENTS = f"""WITH {WORDS_SQL}, comps AS (SELECT doc_id, line_no, word_no // {REGION} AS part, line_no || '.' || word_no AS label, x, y, width, height, floor(width * height * (h % 90 + 5) / 100)::BIGINT AS area, floor(width * (h % 11) / 10)::BIGINT AS top_run, h FROM words)"""
 
 
 def ink_metrics(spark, sf_dir):
@@ -135,21 +139,21 @@ def headline_band(spark, sf_dir):
 def handwriting_lines(spark, sf_dir):
     """Lines of components of each text line, with the reason that they aren't read, their crops, and at most 40 read of a page."""
     c = _components(page_words(spark, sf_dir)).withColumns({"x0": F.col("x"), "y0": F.col("y") + F.col("h") % 17, "x1": F.col("x") + F.col("width"), "y1": F.col("y") + F.col("h") % 17 + F.col("height")})
-    rules = page_words(spark, sf_dir).where("h % 19 = 0").select("doc_id", "line_no", (F.col("x") - 2).alias("x"), "y", (F.col("y") + 35).alias("y1")).withColumnRenamed("y", "y0")
-    lines = handwriting.grouped_lines(c, ["doc_id", "line_no"], rules)
+    rules = page_words(spark, sf_dir).where("h % 19 = 0").select("doc_id", "line_no", F.floor(F.col("word_no") / REGION).alias("part"), (F.col("x") - 2).alias("x"), "y", (F.col("y") + 35).alias("y1")).withColumnRenamed("y", "y0")
+    lines = handwriting.grouped_lines(c, ["doc_id", "line_no", "part"], rules)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     reason = handwriting.line_reason(w, h, F.col("n") * 37 % 256, F.lit(230), F.col("area") * (F.col("n") % 3 + 1) / 3, F.col("area"), F.col("n") * 3 % 11 / 10.0 * w * h, F.lit(0.3) * w, F.lit(4.0))
     crop = handwriting.crop(F.col("x0"), F.col("y0"), w, h, F.lit(2400.0), F.lit(4000.0))
     kept = lines.withColumn("why", reason).withColumn("crop", crop).withColumns({"width": w, "height": h})
-    read_ = handwriting.first_lines(kept.where("why = ''"), ["line_no", "line"]).select("doc_id", "line_no", "line", "turn")
-    out = kept.join(read_, ["doc_id", "line_no", "line"], "left")
-    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("line").cast("long").alias("line"), F.col("n").cast("long").alias("n"), "why", F.round("h", 6).alias("h"), F.col("turn").cast("long").alias("turn"), *[F.round(f"crop.{k}", 6).alias(f"crop_{k}") for k in ("x", "y", "width", "height")])
+    read_ = handwriting.first_lines(kept.where("why = ''"), ["line_no", "part", "line"]).select("doc_id", "line_no", "part", "line", "turn")
+    out = kept.join(read_, ["doc_id", "line_no", "part", "line"], "left")
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "part", F.col("line").cast("long").alias("line"), F.col("n").cast("long").alias("n"), "why", F.round("h", 6).alias("h"), F.col("turn").cast("long").alias("turn"), *[F.round(f"crop.{k}", 6).alias(f"crop_{k}") for k in ("x", "y", "width", "height")])
 
 
 def blob_merge(spark, sf_dir):
     c = _components(page_words(spark, sf_dir)).withColumns({"x0": F.col("x") - F.col("h") % 37, "y0": F.col("y"), "x1": F.col("x") + F.when(F.col("h") % 4 == 0, 3).otherwise(F.col("width")), "y1": F.col("y") + F.when(F.col("h") % 8 == 0, 3).otherwise(F.col("height")), "glyph": F.lit(60)})
-    out = measures.merged_blobs(c.withColumn("x0", F.least("x0", F.col("x1") - 1)), ["doc_id", "line_no", "glyph"], "glyph")
-    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("blob").cast("long").alias("blob"), "x0", "y0", "x1", "y1", F.col("n").cast("long").alias("n"))
+    out = measures.merged_blobs(c.withColumn("x0", F.least("x0", F.col("x1") - 1)), ["doc_id", "line_no", "part", "glyph"], "glyph")
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "part", F.col("blob").cast("long").alias("blob"), "x0", "y0", "x1", "y1", F.col("n").cast("long").alias("n"))
 
 
 # ------------------------------------------------------------------ fits and glyphs
@@ -326,31 +330,31 @@ ORACLES = {
       WHERE 2 * (least(c.x + c.width, w.x + w.width) - greatest(c.x, w.x)) >= c.width AND c.height <= 3 * w.height GROUP BY ALL""",
     "headline_band": f"""WITH {WORDS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x) AS k FROM words WHERE width >= 35.2::DOUBLE AND width <= 550 AND height >= 13.2::DOUBLE AND height <= 55 AND h % 3 = 0),
       b AS (SELECT doc_id, count(*) AS words, greatest(0, min(y) FILTER (k <= 12) - 11) AS y0, least(4000, max(y + height) FILTER (k <= 12) + 11) AS y1 FROM f GROUP BY doc_id) SELECT doc_id, words, y0 AS y, least(y1 - y0, 264) AS band_height FROM b""",
-    "handwriting_lines": f"""{_COMPONENTS}, c AS (SELECT doc_id, line_no, struct_pack(x0 := x::DOUBLE, y0 := (y + h % 17)::DOUBLE, x1 := (x + width)::DOUBLE, y1 := (y + h % 17 + height)::DOUBLE, area := area::DOUBLE) AS c FROM comps),
-      r AS (SELECT doc_id, line_no, list(struct_pack(x := (x - 2)::DOUBLE, y0 := y::DOUBLE, y1 := (y + 35)::DOUBLE)) AS rs FROM words WHERE h % 19 = 0 GROUP BY ALL),
-      a AS (SELECT doc_id, line_no, list(struct_pack(x0 := c.x0, y0 := c.y0, x1 := c.x1, y1 := c.y1, h := c.y1 - c.y0, n := 1::BIGINT, area := c.area) ORDER BY c.x0, c.y0, c.x1, c.y1, c.area) AS cs FROM c GROUP BY ALL),
-      j AS (SELECT a.*, coalesce(rs, []) AS rs FROM a LEFT JOIN r USING (doc_id, line_no)),
-      f AS (SELECT doc_id, line_no, list_reduce(list_transform(cs, lambda x: [x]), lambda d, y: list_transform([list_transform(d, lambda l:
+    "handwriting_lines": f"""{_COMPONENTS}, c AS (SELECT doc_id, line_no, part, struct_pack(x0 := x::DOUBLE, y0 := (y + h % 17)::DOUBLE, x1 := (x + width)::DOUBLE, y1 := (y + h % 17 + height)::DOUBLE, area := area::DOUBLE) AS c FROM comps),
+      r AS (SELECT doc_id, line_no, word_no // {REGION} AS part, list(struct_pack(x := (x - 2)::DOUBLE, y0 := y::DOUBLE, y1 := (y + 35)::DOUBLE)) AS rs FROM words WHERE h % 19 = 0 GROUP BY ALL),
+      a AS (SELECT doc_id, line_no, part, list(struct_pack(x0 := c.x0, y0 := c.y0, x1 := c.x1, y1 := c.y1, h := c.y1 - c.y0, n := 1::BIGINT, area := c.area) ORDER BY c.x0, c.y0, c.x1, c.y1, c.area) AS cs FROM c GROUP BY ALL),
+      j AS (SELECT a.*, coalesce(rs, []) AS rs FROM a LEFT JOIN r USING (doc_id, line_no, part)),
+      f AS (SELECT doc_id, line_no, part, list_reduce(list_transform(cs, lambda x: [x]), lambda d, y: list_transform([list_transform(d, lambda l:
             CASE WHEN least(l.y1, y[1].y1) - greatest(l.y0, y[1].y0) >= least(l.h, y[1].h) * 0.4::DOUBLE AND least(l.y1, y[1].y1) > greatest(l.y0, y[1].y0) AND y[1].x0 - l.x1 <= greatest(l.h, y[1].h) * 2.5::DOUBLE AND y[1].x0 - l.x1 >= -greatest(l.h, y[1].h)
               AND len(list_filter(rs, lambda q: q.x >= least(l.x1, y[1].x0) AND q.x < greatest(l.x1, y[1].x0) AND least(q.y1, l.y1, y[1].y1) - greatest(q.y0, l.y0, y[1].y0) >= greatest(3.0::DOUBLE, (least(l.y1, y[1].y1) - greatest(l.y0, y[1].y0)) * 0.6::DOUBLE))) = 0
             THEN least(l.y1, y[1].y1) - greatest(l.y0, y[1].y0) ELSE 0.0::DOUBLE END)], lambda o: CASE WHEN list_max(o) > 0
               THEN list_transform(d, lambda l, i: CASE WHEN i = list_position(o, list_max(o)) THEN struct_pack(x0 := least(l.x0, y[1].x0), y0 := least(l.y0, y[1].y0), x1 := greatest(l.x1, y[1].x1), y1 := greatest(l.y1, y[1].y1), h := greatest(l.h * 0.8::DOUBLE + y[1].h * 0.2::DOUBLE, least(l.h, y[1].h)), n := l.n + 1, area := l.area + y[1].area) ELSE l END)
               ELSE list_concat(d, y) END)[1]) AS ls FROM j),
-      e AS (SELECT doc_id, line_no, i - 1 AS line, l.x0, l.y0, l.x1 - l.x0 AS w, l.y1 - l.y0 AS hh, l.h, l.n, l.area FROM (SELECT doc_id, line_no, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM f)),
+      e AS (SELECT doc_id, line_no, part, i - 1 AS line, l.x0, l.y0, l.x1 - l.x0 AS w, l.y1 - l.y0 AS hh, l.h, l.n, l.area FROM (SELECT doc_id, line_no, part, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM f)),
       y AS (SELECT *, CASE WHEN w < hh * 1.2::DOUBLE THEN 'short' WHEN n * 37 % 256 < 230 * 0.72::DOUBLE THEN 'background' WHEN area * (n % 3 + 1) / 3 < area * 0.6::DOUBLE THEN 'speckle' WHEN n * 3 % 11 / 10.0::DOUBLE * w * hh >= w * hh * 0.35::DOUBLE THEN 'print'
         WHEN 0.3::DOUBLE * w >= w * 0.45::DOUBLE THEN 'headline' WHEN 4.0 > hh * 0.2::DOUBLE THEN 'stroke' ELSE '' END AS why FROM e),
-      t AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, line) AS turn FROM y WHERE why = '' QUALIFY turn <= 40)
-      SELECT y.doc_id, y.line_no, y.line, n, why, round(h, 6) AS h, turn, round(greatest(0.0::DOUBLE, x0 - hh * 0.3::DOUBLE), 6) AS crop_x, round(greatest(0.0::DOUBLE, y0 - hh * 0.15::DOUBLE), 6) AS crop_y,
+      t AS (SELECT doc_id, line_no, part, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part, line) AS turn FROM y WHERE why = '' QUALIFY turn <= 40)
+      SELECT y.doc_id, y.line_no, y.part, y.line, n, why, round(h, 6) AS h, turn, round(greatest(0.0::DOUBLE, x0 - hh * 0.3::DOUBLE), 6) AS crop_x, round(greatest(0.0::DOUBLE, y0 - hh * 0.15::DOUBLE), 6) AS crop_y,
         round(least(2400.0::DOUBLE, x0 + w + hh * 0.3::DOUBLE) - greatest(0.0::DOUBLE, x0 - hh * 0.3::DOUBLE), 6) AS crop_width, round(least(4000.0::DOUBLE, y0 + hh * 1.15::DOUBLE) - greatest(0.0::DOUBLE, y0 - hh * 0.15::DOUBLE), 6) AS crop_height
-      FROM y LEFT JOIN t ON t.doc_id = y.doc_id AND t.line_no = y.line_no AND t.line = y.line""",
-    "blob_merge": f"""{_COMPONENTS}, c AS (SELECT doc_id, line_no, least(x - h % 37, x1 - 1) AS x0, y AS y0, x1, y + CASE WHEN h % 8 = 0 THEN 3 ELSE height END AS y1 FROM (SELECT *, x + CASE WHEN h % 4 = 0 THEN 3 ELSE width END AS x1 FROM comps) WHERE area >= 4),
-      k AS (SELECT doc_id, line_no, struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, n := 1::BIGINT) AS b, y1 - y0 >= 15 OR x1 - x0 >= 15 AS big FROM c),
-      a AS (SELECT doc_id, line_no, coalesce(list(b ORDER BY b.x0, b.y0, b.x1, b.y1) FILTER (big), []) AS bigs, coalesce(list(b ORDER BY b.x0, b.y0, b.x1, b.y1) FILTER (NOT big), []) AS small FROM k GROUP BY ALL),
-      m AS (SELECT doc_id, line_no, small, CASE WHEN len(bigs) = 0 THEN [] ELSE list_reduce(list_transform(bigs, lambda x: [x]), lambda d, y: CASE WHEN 2 * (least(d[-1].x1, y[1].x1) - greatest(d[-1].x0, y[1].x0)) > least(d[-1].x1 - d[-1].x0, y[1].x1 - y[1].x0)
+      FROM y LEFT JOIN t ON t.doc_id = y.doc_id AND t.line_no = y.line_no AND t.part = y.part AND t.line = y.line""",
+    "blob_merge": f"""{_COMPONENTS}, c AS (SELECT doc_id, line_no, part, least(x - h % 37, x1 - 1) AS x0, y AS y0, x1, y + CASE WHEN h % 8 = 0 THEN 3 ELSE height END AS y1 FROM (SELECT *, x + CASE WHEN h % 4 = 0 THEN 3 ELSE width END AS x1 FROM comps) WHERE area >= 4),
+      k AS (SELECT doc_id, line_no, part, struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, n := 1::BIGINT) AS b, y1 - y0 >= 15 OR x1 - x0 >= 15 AS big FROM c),
+      a AS (SELECT doc_id, line_no, part, coalesce(list(b ORDER BY b.x0, b.y0, b.x1, b.y1) FILTER (big), []) AS bigs, coalesce(list(b ORDER BY b.x0, b.y0, b.x1, b.y1) FILTER (NOT big), []) AS small FROM k GROUP BY ALL),
+      m AS (SELECT doc_id, line_no, part, small, CASE WHEN len(bigs) = 0 THEN [] ELSE list_reduce(list_transform(bigs, lambda x: [x]), lambda d, y: CASE WHEN 2 * (least(d[-1].x1, y[1].x1) - greatest(d[-1].x0, y[1].x0)) > least(d[-1].x1 - d[-1].x0, y[1].x1 - y[1].x0)
         THEN list_append(d[:-2], struct_pack(x0 := least(d[-1].x0, y[1].x0), y0 := least(d[-1].y0, y[1].y0), x1 := greatest(d[-1].x1, y[1].x1), y1 := greatest(d[-1].y1, y[1].y1), n := d[-1].n + y[1].n)) ELSE list_concat(d, y) END) END AS blobs FROM a),
-      s AS (SELECT doc_id, line_no, list_reduce(list_concat([blobs], list_transform(small, lambda x: [x])), lambda d, m: list_transform(d, lambda b, i: CASE WHEN i = list_position(list_transform(d, lambda z: (m[1].x0 + m[1].x1) / 2.0::DOUBLE >= z.x0 - 1 AND (m[1].x0 + m[1].x1) / 2.0::DOUBLE <= z.x1 + 1), true)
+      s AS (SELECT doc_id, line_no, part, list_reduce(list_concat([blobs], list_transform(small, lambda x: [x])), lambda d, m: list_transform(d, lambda b, i: CASE WHEN i = list_position(list_transform(d, lambda z: (m[1].x0 + m[1].x1) / 2.0::DOUBLE >= z.x0 - 1 AND (m[1].x0 + m[1].x1) / 2.0::DOUBLE <= z.x1 + 1), true)
         THEN struct_pack(x0 := b.x0, y0 := least(b.y0, m[1].y0), x1 := b.x1, y1 := greatest(b.y1, m[1].y1), n := b.n + 1) ELSE b END)) AS blobs FROM m)
-      SELECT doc_id, line_no, (i - 1)::BIGINT AS blob, b.x0, b.y0, b.x1, b.y1, b.n FROM (SELECT doc_id, line_no, generate_subscripts(blobs, 1) AS i, unnest(blobs) AS b FROM s)""",
+      SELECT doc_id, line_no, part, (i - 1)::BIGINT AS blob, b.x0, b.y0, b.x1, b.y1, b.n FROM (SELECT doc_id, line_no, part, generate_subscripts(blobs, 1) AS i, unnest(blobs) AS b FROM s)""",
     "ink_calibration": """WITH g AS (SELECT l_suppkey, list_reverse_sort(list(l_quantity * 4::DOUBLE)) AS o, list_reverse_sort(list((l_partkey % 200)::DOUBLE)) AS p FROM lineitem GROUP BY l_suppkey),
       t AS (SELECT l_suppkey, o[floor(len(o) * 0.03::DOUBLE)::INT + 1] AS target, p[floor(len(p) * 0.03::DOUBLE)::INT + 1] AS current FROM g), f AS (SELECT l_suppkey, CASE WHEN target > 1 AND current > 1 THEN least(1.8::DOUBLE, greatest(0.7::DOUBLE, target / current)) END AS f FROM t)
       SELECT l_suppkey, round(f, 9) AS factor, round(CASE WHEN f IS NULL THEN (l_suppkey % 120)::DOUBLE ELSE least(255.0::DOUBLE, greatest(0.0::DOUBLE, 230 - f * (230 - (l_suppkey % 120)))) END, 6) AS ink FROM f""",

@@ -24,7 +24,9 @@ def sauvola_ink(spark, sf_dir):
 
 def components(spark, sf_dir):
     def of(page, number, a):
-        return [(page, number, k + 1, *map(int, b)) for k, b in enumerate(g.components(g.sauvola(a, 12))[1])]
+        box = np.asarray(g.components(g.sauvola(a, 12))[1], np.int64).reshape(-1, 5)
+        n = len(box)
+        return np.column_stack([np.full(n, page), np.full(n, number), np.arange(1, n + 1), box])
 
     return g.per_page(_pages(spark, sf_dir), "page_id long, page_no int, label int, x0 int, y0 int, x1 int, y1 int, area int", of)
 
